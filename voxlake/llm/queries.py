@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from voxlake.llm import decontaminate, simhash
+from voxlake.llm import chat, decontaminate, line_dedup, mixing, quality, sharding, simhash, token_binary, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +49,150 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+OP3_SQL = r"""
+WITH cut AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+rules(rule, name, prefix, v) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+best AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
+  FROM cut, rules WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix) GROUP BY page_id),
+ruled AS (SELECT c.*, b.rule, b.v FROM cut c LEFT JOIN best b USING (page_id)),
+hosts AS (
+  SELECT host, count(v) AS n, CAST(coalesce(sum(CASE WHEN v = 'block' THEN 1 ELSE 0 END), 0) AS BIGINT) AS bad,
+    CASE WHEN regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN regexp_extract(host, '((ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1) ELSE regexp_extract(host, '([^.]+)$', 1) END AS suffix,
+    CASE WHEN regexp_matches(host, '^([^.]+\.)*[^.]+\.(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN regexp_extract(host, '([^.]+\.(ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1)
+         WHEN regexp_matches(host, '[^.]+\.[^.]+$') THEN regexp_extract(host, '([^.]+\.[^.]+)$', 1) ELSE host END AS domain
+  FROM ruled GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY suffix),
+overall AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.0)::DOUBLE AS prior FROM suffixes),
+s1 AS (SELECT suffix, n, bad, prior FROM suffixes, overall),
+@weight s1 w1@,
+s2 AS (SELECT suffix, (bad + weight * prior) / (n + weight) AS prior FROM s1, w1),
+d1 AS (SELECT domain, d.suffix, n, bad, prior FROM domains d JOIN s2 USING (suffix)),
+@weight d1 w2@,
+d2 AS (SELECT domain, suffix, (bad + weight * prior) / (n + weight) AS prior FROM d1, w2),
+h1 AS (SELECT host, n, bad, prior FROM hosts JOIN d2 USING (domain, suffix)),
+@weight h1 w3@,
+h2 AS (SELECT host, n, weight, (bad + weight * prior) / (n + weight) AS rate FROM h1, w3),
+low AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + weight + 1)) AS low FROM h2)
+SELECT page_id, r.host, path, rule, coalesce(v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM ruled r LEFT JOIN low USING (host)
+"""
+for _from, _to in (("s1", "w1"), ("d1", "w2"), ("h1", "w3")):
+    OP3_SQL = OP3_SQL.replace(
+        f"@weight {_from} {_to}@",
+        f"""{_to} AS (
+  SELECT greatest(1.0, least(10000.0, coalesce(CASE WHEN within > 0 AND sn > g THEN CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE 10000.0 END ELSE 10000.0 END, 10000.0))) AS weight
+  FROM (SELECT *, (spread / (within / sn) - g) / (sn - g) AS rho FROM (
+    SELECT sum(n)::DOUBLE AS sn, count(*) AS g, sum(n * (bad / n - prior) * (bad / n - prior)) AS spread, sum(n * prior * (1 - prior)) AS within FROM {_from} WHERE n > 0)))""",
+    )
+
+#: Text of the conversation that the query adds.
+ADDED = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.createDataFrame([(-1, 0, "user", ADDED), (-1, 1, "assistant", ADDED)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    # every row is a message: rows of one turn are told apart by their place among them
+    copy = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    events = rows.select("conv_id", "turn", copy.alias("copy"), F.col("turn").alias("seq"), "role", F.lit("delta").alias("kind"), "text")
+    back = chat.read_back(chat.format_chats(events))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP4_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS t, replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;') AS r FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(r) + 1 + length(t) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+WEIGHTS, SHARE, MOST = [3.0, 1.0, 2.0], 1.5, 2.0
+
+
+def op5_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"), WEIGHTS, SHARE, MOST).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 2.0 * source_size AS cap, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM s),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT arg_min(level, cap / weight) AS level FROM l WHERE level * weight < cap),
+t AS (SELECT source, source_size, CAST(CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * weight) END AS DOUBLE) AS target FROM l, f),
+p AS (SELECT d.*, source_size, target, CAST(floor(target) AS BIGINT) AS words,
+    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(least(size, greatest(0, words - start)) + least(size, greatest(0, words - source_size - start)) AS BIGINT) AS taken FROM p
+"""
+
+
+def op6_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.tokenized(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judged(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_url_reputation": op3_url_reputation,
+    "op4_chat_format": op4_chat_format,
+    "op5_mix_schedule": op5_mix_schedule,
+    "op6_quality_mcd": op6_quality_mcd,
+    "op7_jump_shards": op7_jump_shards,
+    "op8_token_binary": op8_token_binary,
+    "op9_toxicity_gru": op9_toxicity_gru,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op3_url_reputation": OP3_SQL,
+    "op4_chat_format": OP4_SQL,
+    "op5_mix_schedule": OP5_SQL,
 }
