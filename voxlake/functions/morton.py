@@ -8,10 +8,16 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-# fixed values: masks that spread 21 bits to every third bit (shift, mask), and back
-SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
-GATHER = ((2, 0x10C30C30C30C30C3), (4, 0x100F00F00F00F00F), (8, 0x1F0000FF0000FF), (16, 0x1F00000000FFFF), (32, 0x1FFFFF))
-SPREAD_2D = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def _spread(v: int, step: int) -> int:
+    return sum((v >> i & 1) << step * i for i in range(v.bit_length()))
+
+
+# Spread and gather go by constant arrays: an expression that refers to its input twice a
+# step would double with every step.
+SPREAD3, SPREAD2 = ([_spread(v, n) for v in range(256)] for n in (3, 2))
+GATHER3 = [sum((v >> 3 * i & 1) << i for i in range(3)) for v in range(0o111 + 1)]
 
 
 def _c(x) -> Column:
@@ -22,12 +28,23 @@ def _and(x: Column, mask: int) -> Column:
     return x.bitwiseAND(F.lit(mask).cast("long"))
 
 
+def _looked(table: list[int], at: Column) -> Column:
+    return F.get(F.array(*[F.lit(v).cast("long") for v in table]), at.cast("int"))
+
+
+def _bytes(table: list[int], x, step: int, n: int) -> Column:
+    parts = (F.shiftleft(_looked(table, _and(F.shiftright(_c(x).cast("long"), 8 * i), 0xFF)), 8 * step * i) for i in range(n))
+    return reduce(Column.bitwiseOR, parts)
+
+
 def spread3(x) -> Column:
-    return reduce(lambda v, s: _and(v.bitwiseOR(F.shiftleft(v, s[0])), s[1]), SPREAD, _and(_c(x).cast("long"), 0x1FFFFF))
+    """Bits of a coordinate under 2^21, every third place."""
+    return _and(_bytes(SPREAD3, x, 3, 3), 0x1249249249249249)
 
 
 def gather3(m) -> Column:
-    return reduce(lambda v, s: _and(v.bitwiseXOR(F.shiftright(v, s[0])), s[1]), GATHER, _and(_c(m), 0x1249249249249249))
+    parts = (F.shiftleft(_looked(GATHER3, _and(F.shiftright(_c(m), 9 * i), 0o111)), 3 * i) for i in range(7))
+    return reduce(Column.bitwiseOR, parts)
 
 
 def morton3(x="x", y="y", z="z") -> Column:
@@ -40,7 +57,7 @@ def unmorton3(m="morton") -> tuple[Column, Column, Column]:
 
 
 def morton2(x="x", y="y") -> Column:
-    spread = lambda v: reduce(lambda a, s: _and(a.bitwiseOR(F.shiftleft(a, s[0])), s[1]), SPREAD_2D, _and(_c(v).cast("long"), 0x7FFFFFFF))
+    spread = lambda v: _bytes(SPREAD2, v, 2, 4)
     return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
 
 

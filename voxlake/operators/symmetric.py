@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxlake.functions import symmetries as s
+from voxlake.functions.morton import block_bytes
 from voxlake.operators.dag import Dag
-from voxlake.schema import CHILDREN
 from voxlake.storage import stored
 
 #: Transforms of a study, by name.
@@ -132,7 +132,7 @@ class SymmetricDag:
 
 def slot_order_classes(dag: Dag) -> DataFrame:
     """(level, classes) when children may stand in any of 8! orders: a node is the bag of its children's classes."""
-    leaf = dag.nodes[2].select("id", F.concat_ws(",", F.sort_array(F.transform(F.array(*_leaf_blocks()), F.bit_count))).alias("key"))
+    leaf = dag.nodes[2].select("id", F.concat_ws(",", F.sort_array(F.transform(F.array(*block_bytes()), F.bit_count))).alias("key"))
     out, now = None, leaf
     for level in range(2, dag.root + 1):
         if level > 2:
@@ -144,12 +144,3 @@ def slot_order_classes(dag: Dag) -> DataFrame:
         row = now.agg(F.count_distinct("cid").alias("classes")).select(F.lit(level).alias("level"), "classes")
         out = row if out is None else out.unionByName(row)
     return out
-
-
-def _leaf_blocks():
-    from voxlake.functions.morton import block_bytes
-
-    return block_bytes()
-
-
-__all__ = ["CHILDREN", "GROUPS", "SymmetricDag", "canonical_leaves", "canonical_nodes", "class_counts", "mask_classes", "slot_order_classes"]

@@ -257,7 +257,7 @@ def graft_subtree(spark, sf_dir):
 
 
 @query(f"""WITH {VOXELS}, o AS (SELECT i, j, k FROM (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-1, 2)) AS j), (SELECT unnest(range(-1, 2)) AS k) WHERE i <> 0 OR j <> 0 OR k <> 0),
-n AS (SELECT v.x, v.y, v.z FROM voxels v, o JOIN voxels w ON w.x = v.x + o.i AND w.y = v.y + o.j AND w.z = v.z + o.k)
+p AS (SELECT x, y, z, x + i AS nx, y + j AS ny, z + k AS nz FROM voxels, o), n AS (SELECT p.x, p.y, p.z FROM p JOIN voxels w ON w.x = nx AND w.y = ny AND w.z = nz)
 SELECT x, y, z FROM n GROUP BY x, y, z HAVING count(*) >= 2""")
 def erosion_26(spark, sf_dir):
     return edits.erode(voxels(spark, sf_dir), 2)
