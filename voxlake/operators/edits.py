@@ -47,10 +47,9 @@ def graft(base: DataFrame, part: DataFrame, at: tuple) -> DataFrame:
 
 def level_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cells (level, x, y, z) of pyramid ``a`` that pyramid ``b`` lacks, though it has their parents."""
-    up = b.select((F.col("level") - 1).alias("level"), *[F.col(c).alias(c) for c in "xyz"])
-    parent = [F.shiftright(a[c], 1) == up[c] for c in "xyz"]
-    kept = a.join(b, ["level", "x", "y", "z"], "left_anti")
-    return kept.join(up, (kept.level == up.level) & (F.shiftright(kept.x, 1) == up.x) & (F.shiftright(kept.y, 1) == up.y) & (F.shiftright(kept.z, 1) == up.z), "left_semi") if parent else kept
+    up = b.select((F.col("level") - 1).alias("level"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    kept = a.join(b, ["level", "x", "y", "z"], "left_anti").select("level", "x", "y", "z", *[F.shiftright(c, 1).alias(f"p{c}") for c in "xyz"])
+    return kept.join(up, ["level", "px", "py", "pz"], "left_semi").select("level", "x", "y", "z")
 
 
 def add_region(voxels: DataFrame, region: DataFrame) -> DataFrame:
@@ -195,6 +194,8 @@ def expand_edit(spark: SparkSession, root: int, region, stop: int = 2) -> DataFr
         judged = stored(judged, "edit-level")
         settled = judged if level == stop else judged.where("verdict <> 'subdivide'")
         out = settled if out is None else out.unionByName(settled)
+        if level == stop:
+            break
         half = 1 << (level - 1)
         split = judged.where("verdict = 'subdivide'").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))
         level_nodes = split.select(*[(F.col(c) + F.shiftright("s", i).bitwiseAND(F.lit(1)) * half).alias(c) for i, c in enumerate("xyz")])

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxlake.functions import symmetries as s
 from voxlake.functions.morton import block_bytes
@@ -94,8 +94,29 @@ def canonical_nodes(nodes: DataFrame, group: list[int]) -> DataFrame:
     return nodes.mapInPandas(run, "id long, key string, g int, stabiliser long")
 
 
+def conjugated(fixed: str, g: str) -> Column:
+    """The bit set of g s g^-1 for s in a bit set of transforms."""
+
+    @F.pandas_udf("long")
+    def run(bits: pd.Series, by: pd.Series) -> pd.Series:
+        compose, inverse = s.composed(), s.inverses()
+        known: dict[tuple[int, int], int] = {}
+
+        def one(b: int, h: int) -> int:
+            if (b, h) not in known:
+                known[b, h] = sum(1 << int(compose[h][compose[x][inverse[h]]]) for x in range(s.N) if b >> x & 1)
+            return known[b, h]
+
+        return pd.Series([one(b, h) for b, h in zip(bits.tolist(), by.tolist(), strict=True)], dtype="int64")
+
+    return run(fixed, g)
+
+
 class SymmetricDag:
-    """``classes[level]``: (id, cid, g, stabiliser): node id = g applied to canonical node cid."""
+    """``classes[level]``: (id, cid, g, stabiliser): node id = g applied to node cid, which ``stabiliser`` fixes.
+
+    Keys are turned to the class's least node: g is relative to it.
+    """
 
     def __init__(self, dag: Dag, group: list[int]):
         self.dag, self.group = dag, group
@@ -112,8 +133,10 @@ class SymmetricDag:
                 each = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.coalesce(F.try_element_at("kids", i), none))
                 keyed = canonical_nodes(kids.select(F.col("parent").alias("id"), each.alias("kids")), group)
             keyed = stored(keyed, "canonical")
-            first = keyed.groupBy("key").agg(F.min("id").alias("cid"))
-            self.classes[level] = stored(keyed.join(first, "key").select("id", "cid", "g", "stabiliser"), "classes")
+            first = keyed.groupBy("key").agg(F.min_by(F.struct("id", "g", "stabiliser"), "id").alias("rep"))
+            first = first.select("key", F.col("rep.id").alias("cid"), F.col("rep.g").alias("h"), conjugated("rep.stabiliser", "rep.g").alias("stabiliser"))
+            relative = s.compose(F.col("g"), s.invert(F.col("h"))).alias("g")
+            self.classes[level] = stored(keyed.drop("stabiliser").join(first, "key").select("id", "cid", relative, "stabiliser"), "classes")
 
     def counts(self) -> DataFrame:
         """(level, dag_nodes, classes)."""

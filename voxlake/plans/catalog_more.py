@@ -43,7 +43,7 @@ bits AS (SELECT a.o, a.mir, a.s * 8 + b.s AS bit, a.t * 8 + b.t AS dest FROM mov
 distinct_leaves AS (SELECT lo, hi, min(tile) AS id FROM leaves GROUP BY lo, hi),
 set_bits AS (SELECT id, bit FROM distinct_leaves, (SELECT CAST(unnest(range(0, 64)) AS INT) AS bit) WHERE (CASE WHEN bit < 32 THEN (lo >> bit) & 1 ELSE (hi >> (bit - 32)) & 1 END) = 1),
 pictures AS (SELECT id, o, mir, list_sort(list(dest)) AS picture FROM set_bits JOIN bits USING (bit) GROUP BY 1, 2, 3),
-least AS (SELECT id, min(array_to_string(list_transform(picture, v -> lpad(CAST(v AS VARCHAR), 2, '0')), '.')) AS key FROM pictures GROUP BY id)"""
+least AS (SELECT id, min(array_to_string(list_transform(picture, lambda v: lpad(CAST(v AS VARCHAR), 2, '0')), '.')) AS key FROM pictures GROUP BY id)"""
 
 
 def _leaf_class_count(spark, sf_dir, group: str) -> DataFrame:
