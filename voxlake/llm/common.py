@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from voxlake.storage import discard, shared_path, shared_root, stored
+
+__all__ = [
+    "BATCH_ROWS", "KEPT", "WORD_BYTES", "as_bytes", "discard", "map_arrow", "n_partitions", "shared_path", "shared_root", "small_batches", "stored",
+]
+
 #: Rows of one Arrow batch handed to Python; texts are of any length, so few rows.
 BATCH_ROWS = 500
 
@@ -21,62 +25,35 @@ WORD_BYTES = bytes(
 )
 
 
+#: What a Python worker keeps between tasks of one step; the next step's tasks clear it.
+KEPT: dict = {}
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of an Arrow batch of whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        root = tempfile.mkdtemp(prefix="voxlake-")
-        spark.sparkContext.setCheckpointDir(root)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/voxlake-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, lineage cut."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._voxlake_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Remove what ``stored`` wrote, once nothing will read it again."""
-    spark, path = df.sparkSession, df._voxlake_path
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def as_bytes(column: str = "text") -> Column:
     return F.col(column).cast("string").cast("binary")
 
 
-def map_arrow(df: DataFrame, function: Callable[[dict[str, pa.Array]], dict], schema: StructType | str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable, schema: StructType | str, by_task: bool = False) -> DataFrame:
     """Run ``function`` over the Arrow batches of ``df``.
 
     It gets the columns by name and returns, by the names of ``schema``, arrays or lists.
+    With ``by_task`` it is called once a task and returns that function, so that what it
+    keeps goes when the task ends.
     """
     small_batches(df.sparkSession)
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        KEPT.clear()
+        on_batch = function() if by_task else function
         for batch in batches:
-            made = function({n: batch.column(i) for i, n in enumerate(batch.schema.names)})
+            made = on_batch({n: batch.column(i) for i, n in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays(
                 [v.cast(f.type) if isinstance(v := made[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow
             )
@@ -84,11 +61,5 @@ def map_arrow(df: DataFrame, function: Callable[[dict[str, pa.Array]], dict], sc
     return df.mapInArrow(run, schema)
 
 
-def prefix_sums(rows: DataFrame, group: list[str], bucket: str, value: str, out: str) -> DataFrame:
-    """Exclusive prefix sum of ``value`` over the buckets of each group (one row a bucket)."""
-    w = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
-
-
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
-from voxlake.llm.common import as_bytes, map_arrow, n_partitions, shared_path, small_batches
+from voxlake.llm.common import KEPT, as_bytes, map_arrow, n_partitions, shared_path, small_batches
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
 #: Words that a task's cache holds before it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: Words of one text given to the library.
 JOINED = 200
 
@@ -139,14 +139,11 @@ class Encoder:
         return not (unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", lowered.decode()))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder; its cache outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in KEPT:
+        KEPT[path] = Encoder(path)
+    return KEPT[path]
 
 
 # --- the file format --------------------------------------------------------------

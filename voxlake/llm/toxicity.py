@@ -37,7 +37,7 @@ GRAMS = (3, 4, 5)
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 3000, 16_000
 EPOCHS, BATCH, RATE = 14, 128, 0.01
 #: Distinct words whose inputs a task keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Windows scored at a time.
 CHUNK = 2048
 
@@ -268,13 +268,12 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 7) -> Model | float:
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
     r = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
     numbers: dict[bytes, int] = {}
-    for own in words:
-        for w in own:
-            numbers.setdefault(w, len(numbers))
-    counts = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.array([numbers[w] for own in words for w in own] + [0] * STEPS, dtype=np.int64)
+    number = numbers.setdefault
+    parts = [np.array([number(w, len(numbers)) for w in words_of(t)], dtype=np.int64) for t in texts]
+    counts = np.array([len(x) for x in parts], dtype=np.int64)
+    flat = np.concatenate([*parts, np.zeros(STEPS, dtype=np.int64)])
+    del parts
     vocabulary = list(numbers) or [b"x"]
     buckets = word_buckets(vocabulary)
     grams, first = gram_buckets(vocabulary)
@@ -395,28 +394,19 @@ def fitted(documents: DataFrame, labels: DataFrame) -> Model | float:
     return train([bytes(r["text"]) for r in rows], [int(r["toxic"]) for r in rows])
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def scored(documents: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``documents`` (all by default) in a struct ``row``, and ``score``."""
     model = fitted(documents, labels)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    key = id(shared)
     columns = documents.columns if columns is None else columns
 
-    def score(batch):
-        texts = batch["text"].to_pylist()
+    def begin():
         model = shared.value
-        if isinstance(model, float):
-            return {"row": batch["row"], "score": np.full(len(texts), model)}
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(model)
-        return {"row": batch["row"], "score": _scorers[key].score(texts)}
+        score = (lambda texts: np.full(len(texts), model)) if isinstance(model, float) else Scorer(model).score
+        return lambda batch: {"row": batch["row"], "score": score(batch["text"].to_pylist())}
 
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), as_bytes().alias("text"))
-    return map_arrow(rows, score, rows.select("row").withColumn("score", F.lit(0.0)).schema)
+    return map_arrow(rows, begin, rows.select("row").withColumn("score", F.lit(0.0)).schema, by_task=True)
 
 
 def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
