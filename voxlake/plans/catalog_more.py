@@ -195,9 +195,9 @@ def solid_fill(spark, sf_dir):
 
 
 @query(f"""WITH {VOXELS}, r AS (SELECT x, y, z, row_number() OVER (PARTITION BY y, z ORDER BY x) AS n, lead(x, 1, {R}) OVER (PARTITION BY y, z ORDER BY x) AS next FROM voxels)
-SELECT CAST(unnest(range(x, next)) AS BIGINT) AS x, y, z FROM r WHERE n % 2 = 1""")
+SELECT y, z, CAST(sum(next - x) AS BIGINT) AS n, CAST(sum((next - x) * (next + x - 1) // 2) AS BIGINT) AS total FROM r WHERE n % 2 = 1 GROUP BY y, z""")
 def parity_fill_x(spark, sf_dir):
-    return voxelize.parity_fill(voxels(spark, sf_dir), R)
+    return voxelize.parity_fill(voxels(spark, sf_dir), R).groupBy("y", "z").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
 
 
 @query()
