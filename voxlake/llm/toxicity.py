@@ -22,6 +22,7 @@ gives an empty result; columns other than text (lang, source, doc_id) are never
 """
 
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -38,8 +39,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 3000, 16_000
 EPOCHS, BATCH, RATE = 14, 128, 0.01
 #: Distinct words whose inputs a task keeps.
 KEPT_WORDS = 200_000
-#: Windows scored at a time.
-CHUNK = 2048
+#: Windows scored at a time, and words whose n-grams are taken together.
+CHUNK, BLOCK = 2048, 20_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -72,6 +73,28 @@ def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found)[order].astype(np.int64), np.searchsorted(owners[order], np.arange(len(words)))
 
 
+class Vocabulary:
+    """Words' buckets and, by blocks of words, their n-grams' buckets in 16 bits."""
+
+    def __init__(self, words: list[bytes]):
+        self.n, self.buckets = len(words), word_buckets(words)
+        found = [gram_buckets(words[i : i + BLOCK]) for i in range(0, len(words), BLOCK)]
+        self.count = np.concatenate([np.diff(np.concatenate((first, [len(grams)]))) for grams, first in found])
+        self.grams = np.concatenate([grams.astype(np.uint16) for grams, _ in found])
+        self.first = np.concatenate(([0], np.cumsum(self.count)[:-1]))
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Words, their grams, and each word's first among these."""
+        for i in range(0, self.n, BLOCK):
+            some = slice(i, min(i + BLOCK, self.n))
+            first = self.first[some]
+            yield some, self.grams[first[0] : first[-1] + self.count[some][-1]], first - first[0]
+
+    def grams_of(self, words: np.ndarray) -> np.ndarray:
+        n = self.count[words]
+        return self.grams[np.repeat(self.first[words] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))]
+
+
 class Evidence:
     """Hashed log-odds tables and their word inputs."""
 
@@ -155,7 +178,8 @@ class Network:
         dx = np.zeros_like(k["x"])
         for i, d in enumerate("fb"):
             W, U = p[f"W{d}"], p[f"U{d}"]
-            dU, dB, dW = np.zeros_like(U), np.zeros(3 * H, np.float32), np.zeros_like(W)
+            x, before = k["x"], np.empty((*dh.shape[:2], H), dtype=np.float32)
+            gates, inners = (np.empty((*dh.shape[:2], 3 * H), dtype=np.float32) for _ in range(2))
             carry = np.zeros(dh.shape[1:2] + (H,), dtype=np.float32)
             for t, h, z, r, n, hn, m in reversed(k["traces"][d]):
                 total = carry + dh[t, :, i * H : (i + 1) * H]
@@ -163,14 +187,13 @@ class Network:
                 dn = step * (1 - z) * (1 - n * n)
                 dz = step * (h - n) * z * (1 - z)
                 dr = dn * hn * r * (1 - r)
-                dgate = np.concatenate([dz, dr, dn], axis=1)
-                inner = np.concatenate([dz, dr, dn * r], axis=1)
-                carry = total * (1 - m) + step * z + inner @ U.T
-                dU += h.T @ inner
-                dB += dgate.sum(axis=0)
-                dW += k["x"][t].T @ dgate
-                dx[t] += dgate @ W.T
-            grad |= {f"U{d}": dU, f"B{d}": dB, f"W{d}": dW}
+                before[t] = h
+                gates[t] = np.concatenate([dz, dr, dn], axis=1)
+                inners[t] = np.concatenate([dz, dr, dn * r], axis=1)
+                carry = total * (1 - m) + step * z + inners[t] @ U.T
+            dx += gates @ W.T
+            rows = gates.reshape(-1, 3 * H)
+            grad |= {f"U{d}": before.reshape(-1, H).T @ inners.reshape(-1, 3 * H), f"B{d}": rows.sum(axis=0), f"W{d}": x.reshape(-1, x.shape[2]).T @ rows}
         return grad, dx
 
 
@@ -190,6 +213,11 @@ class Adam:
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.s[k] / (1 - 0.99**self.n)) + 1e-6)
 
 
+def summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` added up by ``at``, of ``n`` places."""
+    return np.stack([np.bincount(at, column, n) for column in values.T], axis=1).astype(np.float32)
+
+
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts with ``counts`` words: first word of each window, its number of words, and each text's first window."""
     n = np.maximum(1, -(-np.maximum(counts - STEPS, 0) // STRIDE) + 1)
@@ -270,14 +298,12 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 7) -> Model | float:
     r = np.random.default_rng(seed)
     numbers: dict[bytes, int] = {}
     number = numbers.setdefault
-    parts = [np.array([number(w, len(numbers)) for w in words_of(t)], dtype=np.int64) for t in texts]
+    parts = [np.array([number(w, len(numbers)) for w in words_of(t)], dtype=np.int32) for t in texts]
     counts = np.array([len(x) for x in parts], dtype=np.int64)
-    flat = np.concatenate([*parts, np.zeros(STEPS, dtype=np.int64)])
-    del parts
-    vocabulary = list(numbers) or [b"x"]
-    buckets = word_buckets(vocabulary)
-    grams, first = gram_buckets(vocabulary)
-    gram_count = np.diff(np.concatenate((first, [len(grams)])))
+    flat = np.concatenate([*parts, np.zeros(STEPS, dtype=np.int32)])
+    vocabulary = Vocabulary(list(numbers) or [b"x"])
+    buckets = vocabulary.buckets
+    del parts, numbers, number
     base = np.concatenate(([0], np.cumsum(counts)))
     half = r.permutation(len(y)) % 2
     # documents that have a bucket, by class and half
@@ -286,22 +312,24 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 7) -> Model | float:
         own = np.unique(flat[base[i] : base[i + 1]])
         if len(own):
             seen[0, half[i], y[i], np.unique(buckets[own])] += 1
-            spans = np.repeat(first[own] - np.concatenate(([0], np.cumsum(gram_count[own])[:-1])), gram_count[own]) + np.arange(int(gram_count[own].sum()))
-            seen[1, half[i], y[i], np.unique(grams[spans])] += 1
+            seen[1, half[i], y[i], np.unique(vocabulary.grams_of(own))] += 1
 
     def evidence(parts: list[int]) -> Evidence:
         n = [max(1, int(((y == c) & np.isin(half, parts)).sum())) for c in (0, 1)]
         w, g = seen[0, parts].sum(axis=0), seen[1, parts].sum(axis=0)
         return Evidence(Evidence.odds(w[1], w[0], n[1], n[0]), (w.sum(axis=0) >= 2).astype(np.float32), Evidence.odds(g[1], g[0], n[1], n[0]))
 
-    crossed = [evidence([1]).fixed(buckets, grams, first), evidence([0]).fixed(buckets, grams, first)]
+    def fixed(known: Evidence) -> np.ndarray:
+        return np.concatenate([known.fixed(buckets[some], grams, first) for some, grams, first in vocabulary.blocks()])
+
+    crossed = [fixed(evidence([1])), fixed(evidence([0]))]
     network = Network(seed)
     tables = {"words": r.normal(0, 0.05, (BUCKETS, LEARNED)).astype(np.float32), "grams": r.normal(0, 0.05, (BUCKETS, LEARNED)).astype(np.float32)}
     adam = Adam(network.p | tables)
 
     def learned() -> np.ndarray:
-        mean = np.add.reduceat(tables["grams"][grams], first, axis=0) / gram_count[:, None]
-        return np.concatenate([tables["words"][buckets], mean], axis=1)
+        sums = np.concatenate([np.add.reduceat(tables["grams"][grams], first, axis=0) for _, grams, first in vocabulary.blocks()])
+        return np.concatenate([tables["words"][buckets], sums / vocabulary.count[:, None].astype(np.float32)], axis=1)
 
     start, size, at = windows_of(counts)
     owner = np.repeat(np.arange(len(y)), np.diff(np.concatenate((at, [len(start)]))))
@@ -350,13 +378,10 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 7) -> Model | float:
             g = ((sigmoid(logits) - target) / len(mine)).astype(np.float32)
             grad, dx = network.backward(keep, g)
             there, inverse = np.unique(numbers_here, return_inverse=True)
-            sums = np.zeros((len(there), 2 * LEARNED), dtype=np.float32)
-            np.add.at(sums, inverse.ravel(), dx[:, :, FIXED:].reshape(-1, 2 * LEARNED))
-            words_grad, grams_grad = np.zeros_like(tables["words"]), np.zeros_like(tables["grams"])
-            np.add.at(words_grad, buckets[there], sums[:, :LEARNED])
-            n = gram_count[there]
-            spans = np.repeat(first[there] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-            np.add.at(grams_grad, grams[spans], np.repeat(sums[:, LEARNED:] / n[:, None], n, axis=0))
+            sums = summed(inverse.ravel(), dx[:, :, FIXED:].reshape(-1, 2 * LEARNED), len(there))
+            words_grad = summed(buckets[there], sums[:, :LEARNED], BUCKETS)
+            n = vocabulary.count[there]
+            grams_grad = summed(vocabulary.grams_of(there), np.repeat(sums[:, LEARNED:] / n[:, None], n, axis=0), BUCKETS)
             adam.step(grad | {"words": words_grad, "grams": grams_grad}, RATE * (1 - epoch / EPOCHS) + 0.001)
         table = [np.concatenate([c, learned()], axis=1).astype(np.float32) for c in crossed]
     scale, shift = _logistic(np.maximum.reduceat(all_logits(), at).astype(np.float64), y)
@@ -388,10 +413,11 @@ def fitted(documents: DataFrame, labels: DataFrame) -> Model | float:
     by_hash = F.xxhash64("doc_id")
     some = known.where("toxic = 1").orderBy(by_hash, "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(by_hash, "doc_id").limit(SAMPLE_CLEAN))
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows of two numbers
-    texts = documents.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id").select("doc_id", as_bytes().alias("text"), "toxic")
-    bound = SAMPLE_TOXIC + SAMPLE_CLEAN  # ids may repeat in the documents
-    rows = texts.orderBy(by_hash, "doc_id", "text").limit(bound).collect()
-    return train([bytes(r["text"]) for r in rows], [int(r["toxic"]) for r in rows])
+    texts = documents.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id")
+    # ids may repeat in the documents: one text of each; the rows come a partition at a time
+    rows = texts.groupBy("doc_id").agg(F.min(as_bytes()), F.max("toxic")).toLocalIterator()
+    found = sorted((doc, int(toxic), bytes(text)) for doc, text, toxic in rows)
+    return train([text for _, _, text in found], [toxic for _, toxic, _ in found])
 
 
 def scored(documents: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
