@@ -9,7 +9,7 @@ fixed size.  Forward and backward passes, the attention and the training are num
 
 Training is on the driver, on a bounded sample of labelled rows: at most
 ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` clean rows by hashed id, of texts up to
-``SAMPLE_CHARS`` characters.  Log odds for a training row come from the half of the
+``SAMPLE_CHARS`` characters (of rows that share an id, the least text).  Log odds for a training row come from the half of the
 sample that it is not in.  A toxic text is taught by its highest window (by evidence at
 first, then by the network), a clean one by its highest and a random one.  A logistic
 fit on the sample's scores then sets the scale, so that 0.5 divides the classes.
