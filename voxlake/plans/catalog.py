@@ -272,7 +272,7 @@ def exposed_faces_6(spark, sf_dir):
 @query(f"""WITH {VOXELS}, b AS (SELECT event_id AS box_id, CAST(event_id % {R} AS BIGINT) AS x0, CAST((event_id * 7) % {R} AS BIGINT) AS y0, CAST((event_id * 13) % 100 AS BIGINT) AS z0 FROM events WHERE event_id < 500)
 SELECT box_id, NOT EXISTS (SELECT 1 FROM voxels WHERE x >= x0 AND x < x0 + 5 AND y >= y0 AND y < y0 + 5 AND z >= z0 AND z < z0 + 5) AS is_empty FROM b""")
 def region_empty(spark, sf_dir):
-    b = _probes(spark, sf_dir).where("event_id < 500").select(F.col("event_id").alias("box_id"), *[F.col(c).alias(f"{c}0") for c in "xyz"], *[(F.col(c) + 5).alias(f"{c}1") for c in "xyz"])
+    b = _probes(spark, sf_dir).select(F.col("event_id").alias("box_id"), *[F.col(c).alias(f"{c}0") for c in "xyz"], *[(F.col(c) + 5).alias(f"{c}1") for c in "xyz"])
     return octree.boxes_empty(b, voxels(spark, sf_dir))
 
 
