@@ -36,3 +36,19 @@ def test_every_event_is_a_box(spark, made):
     assert len(set(want.values())) == 2
     got = rows(spark, made, "region_empty")
     assert len(got) == len(EVENTS) and {g.box_id: g.is_empty for g in got} == want
+
+
+def test_every_event_is_a_ray(spark, made):
+    column = {}
+    for x, y, z in made[1]:
+        column[x, y] = min(z, column.get((x, y), R))
+    want = {e: column.get((e * 3 % R, e * 11 % R)) for e in EVENTS}
+    assert {z is None for z in want.values()} == {True, False}
+    hits = {e: (e * 3 % R, e * 11 % R, z) for e, z in want.items() if z is not None}
+    first = rows(spark, made, "ray_first_hit")
+    assert len(first) == len(hits) and {h.ray_id: (h.x, h.y, h.z) for h in first} == hits
+    assert all(h.axis == 2 and h.t == h.z + 10 for h in first)
+    seen = rows(spark, made, "ray_any_hit")
+    assert len(seen) == len(EVENTS) and {h.ray_id: h.hit for h in seen} == {e: e in hits for e in EVENTS}
+    picked = rows(spark, made, "ray_pick")
+    assert len(picked) == len(hits) and {h.ray_id: (h.x, h.y, h.z, h.ax, h.ay, h.az) for h in picked} == {e: (x, y, z, x, y, z - 1) for e, (x, y, z) in hits.items()}
