@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import __spark_entry__
+from voxlake.plans import catalog_more
 from voxlake.plans.catalog import R
 
 EVENTS = [*range(10), *range(490, 520), *range(3990, 4020), 99_999, 250_000]
@@ -52,3 +54,15 @@ def test_every_event_is_a_ray(spark, made):
     assert len(seen) == len(EVENTS) and {h.ray_id: h.hit for h in seen} == {e: e in hits for e in EVENTS}
     picked = rows(spark, made, "ray_pick")
     assert len(picked) == len(hits) and {h.ray_id: (h.x, h.y, h.z, h.ax, h.ay, h.az) for h in picked} == {e: (x, y, z, x, y, z - 1) for e, (x, y, z) in hits.items()}
+
+
+def test_every_supplier_is_a_mesh(spark, made):
+    meshes = catalog_more.triangles(spark, made[0]).groupBy("mesh").count().collect()
+    assert {m["mesh"]: m["count"] for m in meshes} == dict.fromkeys(SUPPLIERS, 8)
+    middle = np.stack(np.meshgrid(*[np.arange(64) + 0.5] * 3, indexing="ij"))
+    odd = np.zeros((64, 64, 64), dtype=bool)
+    for s in SUPPLIERS:
+        centre = np.array([s * k % 48 + 8.25 for k in (7, 13, 29)])[:, None, None, None]
+        odd ^= np.abs(middle - centre).sum(axis=0) < s % 5 + 2.6
+    got = [(v.x, v.y, v.z) for v in rows(spark, made, "solid_fill")]
+    assert len(got) == odd.sum() and set(got) == {tuple(c) for c in np.argwhere(odd).tolist()}

@@ -162,7 +162,7 @@ def translation_dedup(spark, sf_dir):
 
 def triangles(spark, sf_dir, resolution=64) -> DataFrame:
     """Closed octahedra about suppliers' places: eight triangles each, in voxel units."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 40")
+    s = table(spark, sf_dir, "supplier")
     at = lambda k, n: (F.pmod(F.col("s_suppkey") * k, F.lit(n)) + 8.25).cast("double")
     span = float(resolution - 16)
     centre = s.select("s_suppkey", at(7, span).alias("px"), at(13, span).alias("py"), at(29, span).alias("pz"), (F.pmod(F.col("s_suppkey"), F.lit(5)) + 2.6).cast("double").alias("r"))
