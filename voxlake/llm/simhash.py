@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from voxlake.llm.common import as_bytes, discard, map_arrow, n_partitions, stored
@@ -78,14 +78,18 @@ def fingerprints(texts: list[bytes | None], k: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint_table(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): a row for each row of ``documents``; fp is the fingerprint as a signed long."""
+    """(doc_id, fp, mark): a row for each row of ``documents``; fp is the fingerprint as a signed long, mark the text's hash."""
     return map_arrow(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")),
-        lambda b: {"doc_id": b["doc_id"], "fp": fingerprints(b["text"].to_pylist(), k).view(np.int64)},
-        "doc_id long, fp long",
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text"), _mark()),
+        lambda b: {"doc_id": b["doc_id"], "fp": fingerprints(b["text"].to_pylist(), k).view(np.int64), "mark": b["mark"]},
+        "doc_id long, fp long, mark long",
     )
 
 
+def _mark() -> Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("mark")
+
+
 def bands_for(n: int, radius: int = RADIUS) -> list[int]:
     """Bit masks of the tables for ``n`` distinct fingerprints."""
     for extra in range(1, 5):
@@ -252,23 +256,34 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CH
     return dealt.mapInArrow(run, schema)
 
 
-def near_duplicates(documents: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): a row for each document."""
+def _grouped(documents: DataFrame, k: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint table, and (fp, first, root): each fingerprint's least doc_id and component."""
     prints = stored(fingerprint_table(documents, k), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return prints, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(documents: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id): a row for each document."""
+    prints, rooted = _grouped(documents, k, radius)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """One row of each group: that of its smallest doc_id (of repeated ids, one). Rows without an id stay."""
+def keep_one(documents: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group: of its smallest doc_id, the text of the least hash (of rows alike in both, one).
+
+    An id on texts of several groups stands for each of them.  Rows without an id stay.
+    """
     from pyspark.sql import Window as W
 
-    groups = near_duplicates(documents, **options)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_vx_kept")).distinct()
-    rows = documents.join(kept, F.col("doc_id") == F.col("_vx_kept"), "left_semi")
-    once = rows.withColumn("_vx_copy", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))).where("_vx_copy = 1").drop("_vx_copy")
+    prints, rooted = _grouped(documents, k, radius)
+    known = prints.where("doc_id is not null").join(rooted.select("fp", "root"), "fp")
+    kept = known.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("kept")).select(F.col("kept.doc_id").alias("_vx_kept"), F.col("kept.mark").alias("_vx_kept_mark"))
+    marked = documents.withColumn("_vx_mark", _mark())
+    rows = marked.join(kept, (F.col("doc_id") == F.col("_vx_kept")) & (F.col("_vx_mark") == F.col("_vx_kept_mark")), "left_semi")
+    order = W.partitionBy("doc_id", "_vx_mark").orderBy(F.xxhash64(*documents.columns))
+    once = rows.withColumn("_vx_copy", F.row_number().over(order)).where("_vx_copy = 1").drop("_vx_copy", "_vx_mark")
     return once.unionByName(documents.where(F.col("doc_id").isNull()))
