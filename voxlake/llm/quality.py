@@ -2,8 +2,8 @@
 
 Statistics of every whole text become a transformed vector.  For each (language,
 source) the minimum-covariance-determinant location and scatter are estimated on all
-of its rows that pass the fixed rules: from a start by medians and spreads of all rows,
-concentration steps keep the half (``SUPPORT``) of the rows with the smallest
+of its rows that pass the fixed rules: from a start by means and variances of all rows,
+concentration steps keep the share ``SUPPORT`` of the rows with the smallest
 Mahalanobis distances and re-estimate on them.  The final scatter is scaled so that the
 median distance is that of a chi-square, and floored, so that a statistic that is
 nearly constant rejects nothing for a small step.  Rows beyond ``CUTOFF`` are rejected.
