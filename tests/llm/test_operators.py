@@ -139,7 +139,7 @@ def test_components(spark):
 
 def test_urls(spark):
     urls = ["http://A.example.com/en/1?x#y", "https://www.example.com/en/", None, "no scheme", "http://x.net/es/a", "http://net", "x://", "http://a.co.uk/1", "http://com/", "HTTP://B.NET/fr/#f", "http://h?q", "http://ex.net/de/ü\nz"]
-    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "url as host", "'x' as verdict")
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "url as host", "'x' as verdict", "cast(null as string) as html")
     got = {r.page_id: r for r in url_filter.judge(table, RULES).collect()}
     assert len(got) == len(urls)
     assert [got[i].rule for i in range(len(urls))] == ["example.com/en/", "www.example.com/en/", None, None, "net/es/", None, None, None, "com/", "net/fr/", None, None]
@@ -148,12 +148,74 @@ def test_urls(spark):
     assert got[10].host == "h" and got[10].path == "" and got[11].path == "/de/ü\nz"
 
 
+def brute_weight(groups):
+    """``groups``: (n, bad, prior) of each group."""
+    seen = [(n, k, p) for n, k, p in groups if n]
+    sn, g = sum(n for n, _, _ in seen), len(seen)
+    spread, within = sum(n * (k / n - p) ** 2 for n, k, p in seen), sum(n * p * (1 - p) for n, _, p in seen)
+    if not within or sn <= g:
+        return 1.0
+    rho = (spread / (within / sn) - g) / (sn - g)
+    return min(100.0, max(1.0, 1 / rho - 1)) if rho > 0 else 100.0
+
+
+def brute_bounds(outcomes):
+    """host to (rate, low, outcomes of its domain); a host is NAME.DOMAIN.SUFFIX here."""
+    host = defaultdict(lambda: [0, 0])
+    for h, bad in outcomes:
+        host[h][0] += bad is not None
+        host[h][1] += bad or 0
+    domain, suffix = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for h, (n, k) in host.items():
+        for into, name in ((domain, h.split(".", 1)[1]), (suffix, h.rsplit(".", 1)[1])):
+            into[name][0] += n
+            into[name][1] += k
+    n, k = sum(x[0] for x in host.values()), sum(x[1] for x in host.values())
+    above = lambda name: k / n if n else 0.0
+    for level, up in ((suffix, lambda x: None), (domain, lambda x: x.rsplit(".", 1)[1]), (host, lambda x: x.split(".", 1)[1])):
+        w = brute_weight([(m, j, above(up(name))) for name, (m, j) in level.items()])
+        rates = {name: (j + w * above(up(name))) / (m + w) for name, (m, j) in level.items()}
+        above = rates.__getitem__
+    return {h: (r, r - 1.645 * (r * (1 - r) / (host[h][0] + w + 1)) ** 0.5, domain[h.split(".", 1)[1]][0]) for h, r in rates.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_unruled_pages_by_brute_force(spark, seed):
+    r = np.random.default_rng(seed)
+    rate = {f"h{i}.d{i % 7}.{'org' if i % 7 < 4 else 'io'}": [0.02, 0.9, 0.3][i % 3 if seed > 1 else 0] for i in range(40)}
+    seen = [(h, int(r.random() < p) if r.random() < 0.9 else None) for h, p in rate.items() for _ in range(int(r.integers(1, 30)))]
+    seen += [("new.d1.org", None), ("new.d9.io", None)]
+    pages = [(i, f"http://{h}/p{i}", None if bad is None else ("<p>" + ("#*$%" * 20 if bad else "a clean page & more") + "</p><script>'####'</script>")) for i, (h, bad) in enumerate(seen)]
+    want = brute_bounds(seen)
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()
+    assert len(got) == len(pages)
+    for x in got:
+        rate_, low, n = want[x.host]
+        assert abs(x.low - low) < 1e-9 and x.rule is None and x.verdict == ("block" if low > url_filter.MOST_BAD and n else "allow")
+    if seed > 1:
+        assert {x.verdict for x in got} == {"allow", "block"}
+    assert {x.verdict for x in got if x.host == "new.d9.io"} == {"allow"}
+
+
 def test_reputation_shrinks(spark):
     seen = [(f"h{i}.bad.org", 1) for i in range(8) for _ in range(20)] + [(f"h{i}.good.org", 0) for i in range(8) for _ in range(20)] + [("new.bad.org", None), ("new.good.org", None)]
     got = {r.host: r for r in url_filter.reputation(spark.createDataFrame(seen, "host string, bad int")).collect()}
     assert got["new.bad.org"].rate > 0.9 > 0.1 > got["new.good.org"].rate
-    assert got["h1.bad.org"].low > 0.5 > got["new.bad.org"].low - 0.5
+    assert got["h1.bad.org"].low > 0.5 > got["h1.good.org"].rate and got["h1.bad.org"].low > got["new.bad.org"].low
     assert all(0 <= r.rate <= 1 for r in got.values())
+    none = url_filter.reputation(spark.createDataFrame([("a.b.org", None)], "host string, bad int")).collect()
+    assert [(x.rate, x.weight) for x in none] == [(0.0, 1.0)]
+
+
+def test_outcomes_of_pages(spark):
+    from pyspark.sql import functions as F
+
+    made = [("free-bets.x.org", None, 1), ("x.org", None, None), ("alphabets.org", "<style>####</style>word &#35;&amp; word", 0), ("x.org", "<b>a### b***</b>", 1), ("x.org", "", 0)]
+    table = spark.createDataFrame(made, "host string, html string, want int").select("want", url_filter.outcome(F.col("host"), F.col("html")).alias("got"))
+    assert all(x.want == x.got for x in table.collect())
+
+
+def test_registered_domains(spark):
     names = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x.org",), ("org",), ("",)], "h string")
     from pyspark.sql import functions as F
 
@@ -189,37 +251,96 @@ def test_chat_fold(spark):
 
 # --- 5 ---------------------------------------------------------------------------
 
-def test_mixing(spark):
+PARTS = ([3.0, 1.0, 2.0], 1.5, 2.0)
+
+
+def brute_schedule(goals, size, sequence="golden"):
+    """Sources of the slots: ``goals`` (source, words), in order."""
+    total, slots, ends, at = sum(w for _, w in goals), [], [], 0
+    for name, w in goals:
+        at += w
+        ends.append((at * 2**31 // total, name))
+    for i in range(-(-total // size)):
+        p = (i + 1) * 1327217885 % 2**31 if sequence == "golden" else int(f"{i + 1:031b}"[::-1], 2)
+        slots.append(next(name for end, name in ends if p < end))
+    return slots
+
+
+@pytest.mark.parametrize("sequence", ["golden", "van_der_corput"])
+def test_schedule_against_brute_force(spark, sequence):
+    goals = [("a", 30000), ("b", 10000), ("c", 7), (None, 999)]
+    table = spark.createDataFrame([(s, w, float(w), 2 * w) for s, w in goals], "source string, source_size long, target double, limit long")
+    plan = sorted((r.slot, r.source, r["rank"], r.start, r.after, r.words) for r in mixing.schedule(table, 10, sequence).collect())
+    want = brute_schedule(goals, 10, sequence)
+    assert [x[1] for x in plan] == want
+    for name, words in goals:
+        own = [x for x in plan if x[1] == name]
+        assert [x[2] for x in own] == list(range(len(own)))
+        assert all(x[4] - x[3] == 10 for x in own[:-1]) and all(x[4] == y[3] for x, y in zip(own, own[1:], strict=False))
+        assert all(x[5] == min(2 * words, 10 * len(own)) for x in own)
+        # every prefix of the mix is near the targets
+        seen, share = 0, words / sum(w for _, w in goals)
+        for k, x in enumerate(plan, 1):
+            seen += x[1] == name
+            assert abs(seen - k * share) <= (3 if sequence == "golden" else 1 + np.log2(k + 1) / 2)
+
+
+@pytest.mark.parametrize("sequence", ["golden", "van_der_corput"])
+def test_mixing(spark, sequence):
     docs = documents(spark)
-    got = mixing.taken(docs, [3.0, 1.0, 2.0], 1.5, 2.0, slot_words=64).collect()
+    got = mixing.taken(docs, *PARTS, slot_words=64, sequence=sequence).collect()
     want = [(r[0], len(SPACED.findall(r[1] or ""))) for r in rows()]
     assert Counter((r.doc_id, r["size"]) for r in got) == Counter(want)
-    assert all(0 <= r.taken <= 2 * r["size"] for r in got)
+    assert all(0 <= r.taken <= 2 * r["size"] and (r.slot is None) == (r.taken == 0) for r in got)
     by = defaultdict(list)
     for r in got:
         by[r.source].append(r)
-    for own in by.values():
-        assert sum(r.taken for r in own) == int(own[0].target) and sum(r["size"] for r in own) == own[0].source_size
+    order = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    slots = Counter(brute_schedule([(s, int(by[s][0].target)) for s in order], 64, sequence))
+    for s, own in by.items():
+        assert sum(r.taken for r in own) == min(2 * own[0].source_size, 64 * slots[s])
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4 * 64 and sum(r["size"] for r in own) == own[0].source_size
         assert own[0].target <= 2 * own[0].source_size + 1e-6
     assert abs(sum(own[0].target for own in by.values()) - 1.5 * sum(n for _, n in want)) < 1e-3
-    again = mixing.taken(docs.repartition(7), [3.0, 1.0, 2.0], 1.5, 2.0, slot_words=64).collect()
+    again = mixing.taken(docs.repartition(7), *PARTS, slot_words=64, sequence=sequence).collect()
     assert Counter(again) == Counter(got)
 
 
-def test_schedule_is_even_and_whole(spark):
+def test_sequences_differ_within_the_bound(spark):
     docs = documents(spark)
-    assigned, pieces = mixing.mix(docs, [3.0, 1.0, 2.0], 1.5, 2.0, slot_words=64)
-    assert pieces.count() > 0 and pieces.where("after <= first").count() == 0
-    goals = spark.createDataFrame([("a", 1, 30000.0), ("b", 1, 10000.0), (None, 1, 3.0)], "source string, source_size long, target double")
-    plan = [(r.slot, r.source, r["rank"], r.start, r.after) for r in mixing.schedule(goals, 100).collect()]
-    for name, words in (("a", 30000), ("b", 10000), (None, 3)):
-        own = sorted(x for x in plan if x[1] == name)
-        assert [x[2] for x in own] == list(range(len(own)))
-        assert own[0][3] == 0 and own[-1][4] == words and all(x[4] == y[3] for x, y in zip(own, own[1:], strict=False))
-    first = [x[1] for x in sorted(plan, key=lambda x: x[0])[:100]]
-    assert abs(first.count("a") - 75) <= 3
-    copies = mixing.mixed(docs, [3.0, 1.0, 2.0], 1.5, 2.0)
-    assert copies.columns == docs.columns
+    a, b = ({(s.source): s.w for s in mixing.taken(docs, *PARTS, slot_words=16, sequence=q).groupBy("source").sum("taken").toDF("source", "w").collect()} for q in ("golden", "van_der_corput"))
+    assert a != b and all(abs(a[s] - b[s]) <= 8 * 16 for s in a)
+
+
+def test_mixed_rows_hold_what_is_taken(spark):
+    docs = documents(spark)
+    assert docs.columns == mixing.mixed(docs, *PARTS).columns
+    made = mixing.mixed(docs, *PARTS, slot_words=64)
+    uses = mixing.taken(docs, *PARTS, slot_words=64).collect()
+    words, empties = Counter(), Counter()
+    texts = defaultdict(set)
+    for r in rows():
+        texts[r[0]].add(r[1] or "")
+    out = [p.asDict() for p in made.collect()]
+    for r in out:
+        n = len(SPACED.findall(r["text"] or ""))
+        (words if n else empties)[r["doc_id"]] += n or 1
+        assert any(t.startswith(r["text"] or "") for t in texts[r["doc_id"]])
+    assert +words == +Counter({k: v for k, v in ((d, sum(u.taken for u in uses if u.doc_id == d)) for d in {u.doc_id for u in uses})})
+    assert empties == Counter(u.doc_id for u in uses if u["size"] == 0)
+    # in the schedule's order: the slots of first passes never fall, but for second passes
+    once = {u.doc_id: u.slot for u in uses if 0 < u.taken <= u["size"]}
+    order = [once[r["doc_id"]] for r in out if r["doc_id"] in once and r["doc_id"] is not None and r["doc_id"] != rows()[3][0]]
+    assert order == sorted(order)
+
+
+def test_first_words(spark):
+    from pyspark.sql import functions as F
+
+    text = "  a\x01 b\n\nc\td\x0b é 𝄞x  "
+    got = [spark.range(1).select(mixing.first_words(F.lit(text), F.lit(n))).first()[0] for n in range(1, 7)]
+    assert [SPACED.findall(x) for x in got] == [["a\x01", "b", "c", "d", "é", "𝄞x"][:n] for n in range(1, 7)]
+    assert all(text.startswith(x) and not x[-1].isspace() for x in got)
 
 
 # --- 6 ---------------------------------------------------------------------------
@@ -251,6 +372,76 @@ def test_outliers_go_and_others_stay(spark):
     assert all(got[i] for i in range(400)) and not any(got[1000 + i] for i in range(5))
 
 
+def brute_mcd(x, starts=200, seed=0):
+    """Least log determinant of the floored scatter over FAST-MCD's random starts, its mean and scatter."""
+    r = np.random.default_rng(seed)
+    n, p = x.shape
+    h = int(n * quality.SUPPORT + (p + 1) / 2)
+    best = None
+    for _ in range(starts):
+        own = x[r.choice(n, p + 1, replace=False)]
+        last = np.inf
+        for _ in range(100):
+            mean, cov = own.mean(axis=0), quality.floored(np.cov(own.T, bias=True))
+            now = np.linalg.slogdet(cov)[1]
+            if len(own) == h and last - now < 1e-9:
+                break
+            last = now if len(own) == h else np.inf
+            off = x - mean
+            own = x[np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off), kind="stable")[:h]]
+        if best is None or now < best[0]:
+            best = now, mean, cov
+    return best
+
+
+def vectors(spark, x, lang="en", source="s"):
+    return spark.createDataFrame([(lang, source, *map(float, v)) for v in x], "lang string, source string, " + ", ".join(f"{f} double" for f in quality.NAMES))
+
+
+@pytest.mark.parametrize(("n", "share", "above"), [(300, 0.0, 0.1), (300, 0.3, 0.1), (40, 0.2, 0.5)])
+def test_least_determinant_against_fast_mcd(spark, n, share, above):
+    """Of few rows three starts may settle in a minimum near the least that 200 find."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(n)
+    turn = r.normal(size=(quality.P, quality.P))
+    x = r.normal(size=(n, quality.P)) @ turn * 2 + 5
+    x[: int(n * share)] = r.normal(size=(int(n * share), quality.P)) * 0.5 + 40
+    rows_ = vectors(spark, x).withColumn("level", F.lit(0))
+    got = quality.least_determinant(rows_).first()
+    logdet, mean, _ = brute_mcd(x)
+    assert got.rows == n and got.n == int(n * quality.SUPPORT + (quality.P + 1) / 2)
+    assert got.logdet <= logdet + above
+    spread = np.sqrt(np.diag(np.cov(x[int(n * share) :].T)))
+    assert (np.abs(np.array([got[m] for m in quality._MEAN]) - mean) < 0.5 * spread).all()
+
+
+def test_clustered_outliers_do_not_mask_themselves(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(9)
+    good, bad = r.normal(size=(700, quality.P)) * 2, r.normal(size=(300, quality.P)) * 0.3 + 20
+    few = r.normal(size=(6, quality.P)) * 2
+    table = vectors(spark, np.concatenate([good, bad])).unionByName(vectors(spark, few, "en", "few")).unionByName(vectors(spark, few[:1], None, None))
+    found = {(p.lang, p.source): p for p in quality.outlier_parameters(table).collect()}
+    assert set(found) == {("en", "s"), ("en", "few"), (None, None)}
+    p = spark.createDataFrame([found["en", "s"]])
+    far = lambda x: [v.d > quality.CUTOFF for v in vectors(spark, x).drop("lang", "source").crossJoin(F.broadcast(p)).select(quality._distance().alias("d")).collect()]
+    assert all(far(bad)) and not any(far(good))
+    # small groups lean on their language's estimate, and one row on that of all
+    assert all(abs(found["en", "few"][f"m{i}"]) < 2.5 for i in range(quality.P))
+    assert all(abs(found[None, None][f"m{i}"]) < 1 for i in range(quality.P))
+
+
+def test_factors():
+    assert abs(quality.CUTOFF - 51.0) < 0.5 and abs(quality.chi2_quantile(0.5, 5) - 4.3515) < 1e-3 and abs(quality.NEAR - 12.833) < 1e-2
+    r = np.random.default_rng(4)
+    d = np.sort((r.normal(size=(200_000, 5)) ** 2).sum(axis=1))
+    kept = d[: len(d) // 2]
+    assert abs(quality.consistency(0.5) * kept.mean() / 5 - 1) < 0.02
+    assert quality.small_sample(30) > quality.small_sample(300) > 1 > quality.small_sample(1e9) - 1e-3
+
+
 # --- 7 ---------------------------------------------------------------------------
 
 def brute_jump(key, shards):
@@ -413,7 +604,7 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert decontaminate.contamination(none, bench).count() == 0
     assert simhash.near_duplicates(none).count() == 0
-    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
     assert mixing.taken(none, [3.0, 1.0, 2.0], 1.5, 2.0).count() == 0
     assert mixing.mixed(none, [3.0, 1.0, 2.0], 1.5, 2.0).count() == 0
     assert quality.judge(none).count() == 0

@@ -53,20 +53,22 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 
 
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES).drop("low")
 
 
 OP3_SQL = r"""
 WITH cut AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
-  FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, seen
+  FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, @seen@ AS seen FROM pages)),
 rules(rule, name, prefix, v) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
 best AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
   FROM cut, rules WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix) GROUP BY page_id),
-ruled AS (SELECT c.*, b.rule, b.v FROM cut c LEFT JOIN best b USING (page_id)),
+ruled AS (
+  SELECT c.page_id, host, path, b.rule, b.v, CASE WHEN regexp_matches(host, '(^|[^a-z])(@words@)([^a-z]|$)') THEN 1 WHEN seen IS NULL THEN NULL WHEN (length(seen) - length(translate(seen, '#*$%|<>', ''))) * 10 > length(seen) THEN 1 ELSE 0 END AS o
+  FROM cut c LEFT JOIN best b USING (page_id)),
 hosts AS (
-  SELECT host, count(v) AS n, CAST(coalesce(sum(CASE WHEN v = 'block' THEN 1 ELSE 0 END), 0) AS BIGINT) AS bad,
+  SELECT host, count(o) AS n, CAST(coalesce(sum(o), 0) AS BIGINT) AS bad,
     CASE WHEN regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN regexp_extract(host, '((ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1) ELSE regexp_extract(host, '([^.]+)$', 1) END AS suffix,
     CASE WHEN regexp_matches(host, '^([^.]+\.)*[^.]+\.(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN regexp_extract(host, '([^.]+\.(ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1)
          WHEN regexp_matches(host, '[^.]+\.[^.]+$') THEN regexp_extract(host, '([^.]+\.[^.]+)$', 1) ELSE host END AS domain
@@ -79,18 +81,22 @@ s1 AS (SELECT suffix, n, bad, prior FROM suffixes, overall),
 s2 AS (SELECT suffix, (bad + weight * prior) / (n + weight) AS prior FROM s1, w1),
 d1 AS (SELECT domain, d.suffix, n, bad, prior FROM domains d JOIN s2 USING (suffix)),
 @weight d1 w2@,
-d2 AS (SELECT domain, suffix, (bad + weight * prior) / (n + weight) AS prior FROM d1, w2),
-h1 AS (SELECT host, n, bad, prior FROM hosts JOIN d2 USING (domain, suffix)),
+d2 AS (SELECT domain, suffix, n AS domain_n, (bad + weight * prior) / (n + weight) AS prior FROM d1, w2),
+h1 AS (SELECT host, domain_n, hosts.n, bad, prior FROM hosts JOIN d2 USING (domain, suffix)),
 @weight h1 w3@,
-h2 AS (SELECT host, n, weight, (bad + weight * prior) / (n + weight) AS rate FROM h1, w3),
-low AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + weight + 1)) AS low FROM h2)
-SELECT page_id, r.host, path, rule, coalesce(v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM ruled r LEFT JOIN low USING (host)
+h2 AS (SELECT host, domain_n, n, weight, (bad + weight * prior) / (n + weight) AS rate FROM h1, w3),
+low AS (SELECT host, domain_n, rate - 1.645 * sqrt(rate * (1 - rate) / (n + weight + 1)) AS low FROM h2)
+SELECT page_id, r.host, path, rule, coalesce(v, CASE WHEN low > 0.2 AND domain_n > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM ruled r LEFT JOIN low USING (host)
 """
+_SEEN = "html"
+for _pattern, _to in [(x, " ") for x in url_filter.HIDDEN] + [(r"[ \x09-\x0D]+", "")]:
+    _SEEN = f"regexp_replace({_SEEN}, '{_pattern}', '{_to}', 'g')"
+OP3_SQL = OP3_SQL.replace("@seen@", _SEEN).replace("@words@", "|".join(url_filter.BAD_WORDS))
 for _from, _to in (("s1", "w1"), ("d1", "w2"), ("h1", "w3")):
     OP3_SQL = OP3_SQL.replace(
         f"@weight {_from} {_to}@",
         f"""{_to} AS (
-  SELECT greatest(1.0, least(10000.0, coalesce(CASE WHEN within > 0 AND sn > g THEN CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE 10000.0 END ELSE 10000.0 END, 10000.0))) AS weight
+  SELECT greatest(1.0, least(100.0, coalesce(CASE WHEN within > 0 AND sn > g THEN CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE 100.0 END ELSE 1.0 END, 1.0))) AS weight
   FROM (SELECT *, (spread / (within / sn) - g) / (sn - g) AS rho FROM (
     SELECT sum(n)::DOUBLE AS sn, count(*) AS g, sum(n * (bad / n - prior) * (bad / n - prior)) AS spread, sum(n * prior * (1 - prior)) AS within FROM {_from} WHERE n > 0)))""",
     )
@@ -133,21 +139,32 @@ WEIGHTS, SHARE, MOST = [3.0, 1.0, 2.0], 1.5, 2.0
 
 
 def op5_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents"), WEIGHTS, SHARE, MOST).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(table(spark, sf_dir, "documents"), WEIGHTS, SHARE, MOST).select("doc_id", "size", "source_size", "target", "taken", "slot")
 
 
 OP5_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+    md5(coalesce('=' || doc_id, '-') || chr(1) || coalesce('=' || source, '-') || chr(1) || coalesce('=' || text, '-')) AS mark FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0 * source_size AS cap, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM s),
 l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT arg_min(level, cap / weight) AS level FROM l WHERE level * weight < cap),
 t AS (SELECT source, source_size, CAST(CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * weight) END AS DOUBLE) AS target FROM l, f),
-p AS (SELECT d.*, source_size, target, CAST(floor(target) AS BIGINT) AS words,
-    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(least(size, greatest(0, words - start)) + least(size, greatest(0, words - source_size - start)) AS BIGINT) AS taken FROM p
+e AS (SELECT source, sum(words) OVER (ORDER BY encode(source) NULLS LAST) AS upto, sum(words) OVER () AS total FROM (SELECT source, CAST(floor(target) AS HUGEINT) AS words FROM t WHERE target >= 1)),
+h AS (SELECT source, CAST(upto * 2147483648 // total AS BIGINT) AS high, CAST(total AS BIGINT) AS total FROM e),
+i AS (SELECT source, high, coalesce(lag(high) OVER (ORDER BY encode(source) NULLS LAST), 0) AS low FROM h),
+z AS (SELECT max(total) AS total, CAST(greatest(1, least(1024, (max(total) + 65535) // 65536)) AS BIGINT) AS words FROM h),
+-- golden-ratio points of the slots, and the slots of each source by rank
+g AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM (SELECT slot, (((slot + 1) & 2147483647) * 1327217885) & 2147483647 AS p FROM (SELECT unnest(range((total + words - 1) // words)) AS slot FROM z)) JOIN i ON p >= low AND p < high),
+k AS (SELECT t.source, source_size, target, CAST(least(2 * source_size, coalesce(n, 0) * z.words) AS BIGINT) AS words, z.words AS slot_words
+  FROM t CROSS JOIN z LEFT JOIN (SELECT source, count(*) AS n FROM g GROUP BY source) c ON t.source IS NOT DISTINCT FROM c.source),
+p AS (SELECT d.*, source_size, target, words, slot_words,
+    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size, mark ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, size, source_size, target, CAST(least(size, greatest(0, words - start)) + least(size, greatest(0, words - source_size - start)) AS BIGINT) AS taken, g.slot
+FROM p LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source AND g.rank = start // slot_words AND size > 0 AND start < words
 """
 
 
