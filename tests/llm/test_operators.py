@@ -249,6 +249,16 @@ def test_chat_fold(spark):
     assert got == [(0, "user", "hi"), (1, "assistant", "anew"), (699, "assistant", "cut")]
 
 
+def test_log_of_messages_folds_back(spark):
+    said = [(1, t, 1, r, x) for t, r, x in [(None, "system", "odd"), (-(1 << 63), "user", "least"), (0, "user", "héllo 𝄞 there"), (1, "assistant", ""), (2, "user", None), (3, "assistant", "x"), (4, None, "y" * 1001), ((1 << 63) - 1, "user", "last")]]
+    said += [(2, 0, 1, "user", "a"), (2, 0, 2, "user", "b"), (None, 5, 1, "user", "c")]
+    messages = spark.createDataFrame(said, "conv_id long, turn long, copy int, role string, text string")
+    log = chat.as_log(messages)
+    assert log.where("text = 'superseded'").count() == 9 and {r.kind for r in log.collect()} == {"delta", "edit", "regenerate"}
+    got = Counter((r.conv_id, r.turn, r["copy"], r.role, r.text) for r in chat.folded(log.repartition(5)).collect())
+    assert got == Counter((c, t, k, r or "", x or "") for c, t, k, r, x in said)
+
+
 # --- 5 ---------------------------------------------------------------------------
 
 PARTS = ([3.0, 1.0, 2.0], 1.5, 2.0)
@@ -549,6 +559,58 @@ def test_network_gradient():
         assert abs((up - down) / 2e-3 - grad[k][i]) < 1e-2
 
 
+def brute_logit(n, x):
+    """One window (time, inputs) through the network, number by number."""
+    p, h_size = n.p, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    hidden = {}
+    for d in "fb":
+        h, out = [0.0] * h_size, []
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            gate = lambda k: sum(x[t][i] * p[f"W{d}"][i][k] for i in range(toxicity.INPUTS)) + p[f"B{d}"][k]  # noqa: B023, E731
+            state = lambda k: sum(h[i] * p[f"U{d}"][i][k] for i in range(h_size))  # noqa: B023, E731
+            z = [sig(gate(k) + state(k)) for k in range(h_size)]
+            r = [sig(gate(h_size + k) + state(h_size + k)) for k in range(h_size)]
+            new = [np.tanh(gate(2 * h_size + k) + r[k] * state(2 * h_size + k)) for k in range(h_size)]
+            h = [z[k] * h[k] + (1 - z[k]) * new[k] for k in range(h_size)]
+            out.append(h)
+        hidden[d] = out if d == "f" else out[::-1]
+    both = [a + b for a, b in zip(hidden["f"], hidden["b"], strict=True)]
+    weigh = [np.exp(sum(p["v"][j] * np.tanh(sum(h[i] * p["A"][i][j] for i in range(2 * h_size)) + p["a"][j]) for j in range(h_size))) for h in both]
+    pooled = [sum(w * h[i] for w, h in zip(weigh, both, strict=True)) / sum(weigh) for i in range(2 * h_size)]
+    return sum(a * b for a, b in zip(pooled, p["u"], strict=True)) + p["c"][0]
+
+
+def test_network_against_brute_force():
+    r = np.random.default_rng(6)
+    n = toxicity.Network(3)
+    lengths = [1, 2, 5, 9]
+    x = r.normal(size=(9, 4, toxicity.INPUTS)).astype(np.float32)
+    mask = (np.arange(9)[:, None] < np.array(lengths)).astype(np.float32)
+    got = n.forward(x, mask)
+    want = [brute_logit(n, x[:k, i].tolist()) for i, k in enumerate(lengths)]
+    assert np.abs(got - want).max() < 1e-4
+
+
+def test_order_of_words_counts(spark):
+    """Toxic and clean texts hold the same words; only the recurrent part can tell their order."""
+    r = np.random.default_rng(5)
+    plain = [f"word{i}" for i in range(60)]
+
+    def doc(bad):
+        w = [str(x) for x in r.choice(plain, size=12)]
+        for at in (2, 7):
+            w[at : at + 2] = ["grimly", "vileling"] if bad else ["vileling", "grimly"]
+        return " ".join(w)
+
+    made = [(i, doc(i % 2), "en", "s") for i in range(900)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, toxic int")
+    held = [x for x in toxicity.judged(docs, labels).collect() if x.held_out]
+    right = sum(x.predicted == x.doc_id % 2 for x in held) / len(held)
+    assert right >= 0.9
+
+
 # --- 10 --------------------------------------------------------------------------
 
 def brute_removed(docs, least):

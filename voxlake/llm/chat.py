@@ -21,6 +21,8 @@ a null kind is a delta; a null conversation is one; an empty log gives no rows;
 columns are not read.
 """
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -59,7 +61,8 @@ def folded(events: DataFrame) -> DataFrame:
     blocks = turns.groupBy("conv_id", "block").agg(F.max("reset").alias("most"))
     before = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.max("most").over(before).alias("earlier"))
-    here = W.partitionBy("conv_id", "block").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    # in decimals, where the least turn has a number before it
+    here = W.partitionBy("conv_id", "block").orderBy(F.col("turn").cast("decimal(20,0)")).rangeBetween(W.unboundedPreceding, -1)
     cut = turns.join(blocks, turns.conv_id.eqNullSafe(blocks.c) & turns.block.eqNullSafe(blocks.b)).withColumn(
         "after", F.greatest(F.max("reset").over(here), "earlier")
     )
@@ -96,6 +99,32 @@ def rendered(messages: DataFrame) -> DataFrame:
     )
 
 
+def as_log(messages: DataFrame) -> DataFrame:
+    """The event log of finished messages (conv_id, turn, copy, role, text), as an editor would have written it.
+
+    Every message is begun with a draft and then written anew, by an edit in odd turns and a
+    regeneration in others, its text in two deltas; and a draft of the next turn, said before
+    that, is to go with it.  Folding the log gives the messages again.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, second = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    odd = F.coalesce(F.pmod(F.col("turn"), F.lit(2)) == 1, F.lit(False))
+    # eight numbers a turn, in order of turns; a null turn comes before all
+    base = F.coalesce(F.col("turn").cast("decimal(20,0)") * 8, F.lit(Decimal(-(1 << 67))))
+    written = [  # (number, kind, text) in no order
+        (4, F.lit("delta"), second),
+        (0, F.lit("delta"), F.reverse(F.substr(text, F.lit(1), F.lit(8)))),
+        (2, F.when(odd, "edit").otherwise("regenerate"), F.when(odd, first).otherwise("")),
+        (3, F.lit("delta"), F.when(odd, "").otherwise(first)),
+    ]
+    same, after = (F.col("turn"), F.col("copy").cast("int")), (F.try_add(F.col("turn"), F.lit(1)), F.lit(-1))
+    event = lambda at, n, kind, said: F.struct(at[0].alias("turn"), at[1].alias("copy"), (base + n).cast("decimal(24,0)").alias("seq"), kind.alias("kind"), said.alias("text"))
+    events = F.array(*[event(same, *x) for x in written], event(after, 1, F.lit("delta"), F.lit("superseded")))
+    log = messages.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "role", "e.*")
+    return log.where("turn is not null or copy <> -1")
+
+
 def format_chats(events: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_mask) for each conversation of the log."""
     return rendered(folded(events))

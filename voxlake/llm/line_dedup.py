@@ -17,16 +17,18 @@ overlapping intervals of one round, and rounds end at the longest window.
 Every round is a few aggregations with partial minima and joins by Spark's choice; a
 very common line is a skewed join key, which Spark splits.
 
-Defined cases: a null or empty text is one empty line; lines are compared as they are;
-a document without id comes first; rows equal in id and text are one document, and keep
-equal lines; within a document, later copies of its own runs go as well; an empty table
+Runs under ``LEAST_WORDS`` words stay (1 removes every later copy of any line); lines are
+compared by their 128-bit hashes, whole lines as they are.
+
+Defined cases: a null or empty text is one empty line; a document without id comes first;
+rows equal in id and text (by its 64-bit hash) are one document, and keep equal lines; within a document, later copies of its own runs go as well; an empty table
 gives an empty result; other columns pass through ``deduplicated`` untouched.
 """
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxlake.llm.common import as_bytes, discard, map_arrow, stored
 
@@ -112,11 +114,18 @@ def removed_lines(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 
 def decisions(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, mark, removed): the line numbers to remove, of documents with any."""
+    """(doc_id, mark, removed): the line numbers to remove, of documents with any.
+
+    A document's overlapping ranges are merged before their lines are listed.
+    """
     ranges = removed_lines(documents, least).distinct()
-    per = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "after")).alias("ranges"))
-    each = F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["after"] - 1)))
-    return per.select("doc_id", "mark", F.array_sort(F.array_distinct(each)).alias("removed"))
+    earlier = W.partitionBy("doc_id", "mark").orderBy("first", "after").rowsBetween(W.unboundedPreceding, -1)
+    begins = F.coalesce((F.col("first") > F.max("after").over(earlier)).cast("int"), F.lit(1))
+    upto = W.partitionBy("doc_id", "mark").orderBy("first", "after").rowsBetween(W.unboundedPreceding, W.currentRow)
+    islands = ranges.withColumn("begins", begins).withColumn("island", F.sum("begins").over(upto))
+    merged = islands.groupBy("doc_id", "mark", "island").agg(F.min("first").alias("first"), F.max("after").alias("after"))
+    per = merged.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "after"))).alias("ranges"))
+    return per.select("doc_id", "mark", F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["after"] - 1))).alias("removed"))
 
 
 def _marked(documents: DataFrame, columns: list[str]) -> DataFrame:

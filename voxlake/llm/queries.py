@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from voxlake.llm import chat, decontaminate, line_dedup, mixing, quality, sharding, simhash, token_binary, toxicity, url_filter
+from voxlake.llm import chat, decontaminate, line_dedup, mixing, quality, sharding, simhash, sql, token_binary, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,20 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, array_to_string(w[i:i + 2], ' ') AS shingle FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+{sql.xxh64("shingle", "s")},
+bits AS (SELECT r, count(*) AS n, {', '.join(f'sum(CAST((h >> {b}) & 1 AS BIGINT)) AS b{b}' for b in range(64))} FROM s JOIN hashed ON shingle = t GROUP BY r),
+prints AS (SELECT doc_id, CAST(coalesce({' + '.join(f'CASE WHEN 2 * b{b} > n THEN {1 << b}::UHUGEINT ELSE 0 END' for b in range(64))}, 0) AS UBIGINT) AS fp FROM d LEFT JOIN bits USING (r)),
+u AS (SELECT fp, min(doc_id) AS first FROM prints GROUP BY fp),
+links AS (SELECT a.fp AS a, b.fp AS b FROM u a, u b WHERE bit_count(CAST(CAST(xor(a.fp, b.fp) AS HUGEINT) - CASE WHEN xor(a.fp, b.fp) >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END AS BIGINT)) <= 3),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT reach.a AS fp, min(first) AS component_id FROM reach JOIN u ON u.fp = reach.b GROUP BY reach.a)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, component_id FROM prints JOIN named USING (fp)
+"""
+
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 
@@ -110,8 +124,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     # every row is a message: rows of one turn are told apart by their place among them
     copy = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    events = rows.select("conv_id", "turn", copy.alias("copy"), F.col("turn").alias("seq"), "role", F.lit("delta").alias("kind"), "text")
-    back = chat.read_back(chat.format_chats(events))
+    back = chat.read_back(chat.format_chats(chat.as_log(rows.withColumn("copy", copy))))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -176,6 +189,20 @@ def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = f"""
+WITH RECURSIVE k AS (SELECT DISTINCT coalesce(doc_id, 0) AS id FROM documents),
+jump(id, n, state, b, j) AS (
+  SELECT id, n, CAST(id AS HUGEINT) + CASE WHEN id < 0 THEN 18446744073709551616 ELSE 0 END, -1::BIGINT, 0::BIGINT FROM k, (VALUES (8), (9)) v(n)
+  UNION ALL
+  SELECT id, n, state, j, CAST(floor((j + 1) * (2147483648::DOUBLE / CAST(state // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT id, n, j, (state * 2862933555777941757 + 1) % 18446744073709551616 AS state FROM jump WHERE j < n)),
+placed AS (SELECT id, CAST(max(CASE WHEN n = 8 THEN b END) AS INT) AS shard, CAST(max(CASE WHEN n = 9 THEN b END) AS INT) AS grown_shard FROM jump WHERE j >= n GROUP BY id),
+sized AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {sql.crc32("coalesce(text, '')")} AS text_crc32 FROM documents)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM sized JOIN placed ON id = coalesce(doc_id, 0)
+"""
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -191,7 +218,23 @@ def op9_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.judged(table(spark, sf_dir, "documents"))
+    found = line_dedup.judged(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS place FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+l AS (SELECT place, line, body, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT place, unnest(lines) AS body, unnest(range(len(lines))) AS line FROM (SELECT place, string_split(text, chr(10)) AS lines FROM d))),
+-- lines equal to an earlier line, and the runs of such pairs side by side
+p AS (SELECT a.place AS from_place, b.place, b.line - a.line AS off, b.line, b.words FROM l a JOIN l b ON a.body = b.body AND (a.place < b.place OR (a.place = b.place AND a.line < b.line))),
+g AS (SELECT *, line - row_number() OVER (PARTITION BY from_place, place, off ORDER BY line) AS island FROM p),
+runs AS (SELECT place, min(line) AS first, max(line) AS last FROM g GROUP BY from_place, place, off, island HAVING sum(words) >= @least@),
+gone AS (SELECT DISTINCT place, unnest(range(first, last + 1)) AS line FROM runs),
+listed AS (SELECT place, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM gone GROUP BY place)
+SELECT o.doc_id, CAST(len(string_split(coalesce(o.text, ''), chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed
+FROM documents o JOIN d ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.text = coalesce(o.text, '') LEFT JOIN listed USING (place)
+""".replace("@least@", str(line_dedup.LEAST_WORDS))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -209,7 +252,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op2_simhash_near_dedup": OP2_SQL,
     "op3_url_reputation": OP3_SQL,
     "op4_chat_format": OP4_SQL,
     "op5_mix_schedule": OP5_SQL,
+    "op7_jump_shards": OP7_SQL,
+    "op10_line_dedup": OP10_SQL,
 }

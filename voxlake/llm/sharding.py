@@ -2,23 +2,23 @@
 
 The key and the number of shards alone decide the shard: no ring table, and a shard
 more takes rows only into itself, about one in (shards + 1).  Slots number the rows of
-a shard by hashed bucket, then id: bucket counts are summed first, and rows are ranked
-inside their bucket, so no shard is one task.
+a shard by id, then text's checksum and size: rows are dealt by ranges of these, ranges
+are counted first, and rows are ranked inside their range, so no shard is one task.
 
 Defined cases: a null key hashes like 0; a null text has size 1 (its end) and the
-CRC-32 of no bytes; rows of equal key share a shard and stand side by side; an empty
-table gives an empty result; other columns are not read.
+CRC-32 of no bytes; rows of equal key share a shard and stand side by side (rows
+alike in key, checksum and size in one range); null keys come first; an empty table gives
+an empty result; a key that is no whole number is an error (ANSI); other columns are not
+read.
 """
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from voxlake.llm.common import stored
+from voxlake.llm.common import discard, n_partitions, stored
 
 SHARDS = 8
-#: Rows of a bucket, about.
-BUCKET = 4096
 # fixed values: multiplier of the generator and its output range
 MULTIPLIER, HIGH = 2862933555777941757, float(1 << 31)
 
@@ -50,12 +50,14 @@ def sharded(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.col("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
     rows = rows.withColumns({"shard": jump_column("doc_id", shards), "grown_shard": jump_column("doc_id", shards + 1)})
-    rows = stored(rows, "shards")
-    n = max(1, rows.count() // (BUCKET * shards))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n)))
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("c"))
+    order = ["shard", "doc_id", "text_crc32", "size"]
+    # stored, as dealing by ranges reads its input twice, and the ranges must not change after they are counted
+    sized = stored(rows, "shards")
+    dealt = stored(sized.repartitionByRange(n_partitions(documents.sparkSession), *order).withColumn("bucket", F.spark_partition_id()), "dealt")
+    discard(sized)
+    counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("c"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("shard", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
     inside = W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.join(counts, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.row_number().over(inside) - 1)
+    ranked = dealt.join(counts, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.row_number().over(inside) - 1)
     return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

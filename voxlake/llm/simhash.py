@@ -284,6 +284,6 @@ def keep_one(documents: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> Da
     kept = known.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("kept")).select(F.col("kept.doc_id").alias("_vx_kept"), F.col("kept.mark").alias("_vx_kept_mark"))
     marked = documents.withColumn("_vx_mark", _mark())
     rows = marked.join(kept, (F.col("doc_id") == F.col("_vx_kept")) & (F.col("_vx_mark") == F.col("_vx_kept_mark")), "left_semi")
-    order = W.partitionBy("doc_id", "_vx_mark").orderBy(F.xxhash64(*documents.columns))
+    order = W.partitionBy("doc_id", "_vx_mark").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
     once = rows.withColumn("_vx_copy", F.row_number().over(order)).where("_vx_copy = 1").drop("_vx_copy", "_vx_mark")
     return once.unionByName(documents.where(F.col("doc_id").isNull()))
