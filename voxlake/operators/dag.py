@@ -9,12 +9,12 @@ storage: each feeds its own grouping and the next level.
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxlake.functions import morton as m
 from voxlake.operators.octree import leaves, parents
 from voxlake.schema import CHILDREN
-from voxlake.storage import stored
+from voxlake.storage import discard, stored
 
 
 def identified(nodes: DataFrame, content: list[str], key: str = "morton") -> DataFrame:
@@ -93,18 +93,21 @@ class Dag:
         return self.all_edges().groupBy((F.col("level") - 1).alias("level"), "child").agg(F.count("*").alias("refs"))
 
     def reference_ranks(self) -> DataFrame:
-        """(level, child, refs, rank): by falling references, then id.
-
-        Ranks come in two levels: rows of one count are ranked by hash-free ranges of the
-        id, after the counts' own prefix sums, so a level is not one task.
-        """
-        refs = stored(self.reference_counts(), "references")
-        part = refs.withColumn("part", F.shiftright("child", 18))
-        sizes = part.groupBy("level", "refs", "part").agg(F.count("*").alias("n"))
-        before = W.partitionBy("level").orderBy(F.desc("refs"), "part").rowsBetween(W.unboundedPreceding, -1)
-        sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-        inside = W.partitionBy("level", "refs", "part").orderBy("child")
-        return part.join(sizes, ["level", "refs", "part"]).select("level", "child", "refs", (F.col("before") + F.row_number().over(inside) - 1).alias("rank"))
+        """(level, child, refs, rank): by falling references, then id."""
+        return ranked(self.reference_counts(), "level", [F.desc("refs"), F.asc("child")], "rank").select("level", "child", "refs", "rank")
+
+    def live(self, roots: DataFrame, level: int) -> dict[int, DataFrame]:
+        """By level (id,): the nodes that ``roots`` (id) of ``level`` reach; a garbage collection keeps these."""
+        out = {level: stored(roots.select("id").distinct(), "live")}
+        for k in range(level, 2, -1):
+            used = self.edges(k).join(out[k], F.col("parent") == F.col("id"), "left_semi").select(F.col("child").alias("id")).distinct()
+            out[k - 1] = stored(used, "live")
+        return out
+
+    def garbage(self, roots: DataFrame, level: int) -> DataFrame:
+        """(level, id): nodes up to ``level`` that ``roots`` do not reach."""
+        live = self.live(roots, level)
+        return reduce(DataFrame.unionByName, (self.nodes[k].select("id").join(live[k], "id", "left_anti").select(F.lit(k).alias("level"), "id") for k in live))
 
     def orphans(self, live: DataFrame, level: int) -> DataFrame:
         """Nodes of ``level`` - 1 that no node in ``live`` (id) of ``level`` refers to."""
@@ -140,9 +143,27 @@ def running_start(rows: DataFrame, group: str, key: str, size: str, out: str = "
     part = rows.withColumn("_part", F.shiftright(key, 18))
     sums = part.groupBy(group, "_part").agg(F.sum(size).alias("_n"))
     before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    sums = sums.withColumn("_run", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = W.partitionBy(group, "_part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    return part.join(sums, [group, "_part"]).select(*rows.columns, (F.col("_before") + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long").alias(out))
+    return part.join(sums, [group, "_part"]).select(*rows.columns, (F.col("_run") + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long").alias(out))
+
+
+def ranked(rows: DataFrame, group: str, order: list[Column], out: str = "rank") -> DataFrame:
+    """``rows`` with their place (from 0) in ``order`` within each group.
+
+    Rows are dealt by ranges of (group, order), ranges are counted, and rows are ranked
+    inside their range, so no group is one task.  ``order`` must tell rows apart.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # stored twice: dealing by ranges reads its input twice, and ranges must stay as counted
+    first = stored(rows, "unranked")
+    dealt = stored(first.repartitionByRange(n, F.col(group), *order).withColumn("_part", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)) - 1
+    discard(first)
+    return dealt.join(counts, [group, "_part"]).select(*rows.columns, place.cast("long").alias(out))
 
 
 def depth_first_rank(voxels: DataFrame) -> DataFrame:

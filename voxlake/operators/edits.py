@@ -8,12 +8,15 @@ and a state is the last entry of each tile on the version's path.
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from math import ceil, floor
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from voxlake.functions import morton as m
 from voxlake.operators.octree import in_box, in_sphere, leaves, voxels_of_leaves
-from voxlake.storage import stored
+from voxlake.storage import discard, stored
 
 
 # --- set operations ---------------------------------------------------------------
@@ -66,20 +69,50 @@ def copy_box(voxels: DataFrame, lower: tuple, upper: tuple, to: tuple, resolutio
     return union(voxels, moved.where(in_box((0, 0, 0), (resolution,) * 3)))
 
 
-def copy_transformed(voxels: DataFrame, source: tuple, target: tuple, radius: float, matrix: list[list[float]], resolution: int, swirl_period: float | None = None) -> DataFrame:
-    """A sphere about ``target`` filled with what lies about ``source`` under a matrix, turned about z by height if swirled.
+def touched_by_box(centre: tuple, radius: float) -> Column:
+    """Voxels (x, y, z) whose cube shares volume with a cube about ``centre``."""
+    return reduce(Column.__and__, ((F.col(c) + 1 > v - radius) & (F.col(c) < v + radius) for c, v in zip("xyz", map(float, centre), strict=True)))
 
-    Every target voxel looks its source voxel up (an equi join), so nothing is missed by rounding.
+
+def touched_by_sphere(centre: tuple, radius: float) -> Column:
+    """Voxels (x, y, z) whose cube reaches into a sphere."""
+    gaps = [F.greatest(F.lit(0.0), F.col(c) - v, v - (F.col(c) + 1)) for c, v in zip("xyz", map(float, centre), strict=True)]
+    return sum((g * g for g in gaps), F.lit(0.0)) < radius * radius
+
+
+def cells_about(spark: SparkSession, centre: tuple, radius: float, resolution: int) -> DataFrame:
+    """(x, y, z) of the grid's voxels that a cube about ``centre`` touches."""
+    lower = tuple(max(0, floor(v - radius)) for v in centre)
+    upper = tuple(max(a, min(resolution, ceil(v + radius))) for a, v in zip(lower, centre, strict=True))
+    return box_voxels(spark, lower, upper)
+
+
+def copy_transformed(
+    voxels: DataFrame, source: tuple, dest: tuple, centre: tuple, radius: float, resolution: int, matrix: list[float] | None = None, swirl_period: float | None = None
+) -> DataFrame:
+    """``voxels`` and, in the empty cells of a cube, what lies at the cells' images under the copy.
+
+    The cube's centre is that of ``centre`` under the copy, dest + M (centre - source), its
+    radius grows with the matrix (nine numbers by rows).  A cell p reads the voxel at
+    source + M^-1 S (p - dest), where S turns about y by height / ``swirl_period``.  Every cell
+    looks its voxel up (an equi join), so nothing is missed by rounding; other columns
+    (material) come from the voxel read.
     """
-    to = sphere_voxels(voxels.sparkSession, target, radius, resolution)
-    d = [F.col(c) + 0.5 - t for c, t in zip("xyz", target, strict=True)]
+    turn = np.array(matrix or np.eye(3), dtype=float).reshape(3, 3)
+    back = np.linalg.inv(turn)
+    middle = tuple(float(d) for d in np.array(dest, float) + turn @ (np.array(centre, float) - np.array(source, float)))
+    reach = float(radius) * float(np.abs(turn.sum(axis=1)).max())
+    cells = cells_about(voxels.sparkSession, middle, reach, resolution).where(touched_by_box(middle, reach))
+    d = [F.col(c) - float(v) for c, v in zip("xyz", dest, strict=True)]
     if swirl_period:
-        turn = d[2] * (6.283185307179586 / swirl_period)
-        d = [d[0] * F.cos(turn) - d[1] * F.sin(turn), d[0] * F.sin(turn) + d[1] * F.cos(turn), d[2]]
-    at = [F.floor(sum((float(row[j]) * d[j] for j in range(3)), F.lit(0.0)) + s).cast("long").alias(f"s{c}") for c, row, s in zip("xyz", matrix, source, strict=True)]
-    looked = to.select("x", "y", "z", *at)
-    found = looked.join(voxels.select(*[F.col(c).alias(f"s{c}") for c in "xyz"]), ["sx", "sy", "sz"], "left_semi")
-    return union(voxels, found)
+        angle = d[1] / float(swirl_period)
+        d = [d[0] * F.cos(angle) - d[2] * F.sin(angle), d[1], d[0] * F.sin(angle) + d[2] * F.cos(angle)]
+    at = [sum((float(back[i, j]) * d[j] for j in range(3)), F.lit(0.0)) + float(source[i]) for i in range(3)]
+    looked = cells.select("x", "y", "z", *[v.alias(f"_s{c}") for c, v in zip("xyz", at, strict=True)]).where("_sx >= 0 and _sy >= 0 and _sz >= 0")
+    looked = looked.select("x", "y", "z", *[F.floor(f"_s{c}").cast("long").alias(f"_s{c}") for c in "xyz"])
+    rest = [c for c in voxels.columns if c not in ("x", "y", "z")]
+    found = looked.join(voxels.select(*[F.col(c).alias(f"_s{c}") for c in "xyz"], *rest), ["_sx", "_sy", "_sz"]).select("x", "y", "z", *rest)
+    return voxels.unionByName(found.join(voxels.select("x", "y", "z"), ["x", "y", "z"], "left_anti"))
 
 
 OFFSETS_26 = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
@@ -112,18 +145,39 @@ def exposed_faces(voxels: DataFrame) -> DataFrame:
     return faces.join(there, near, "left_anti")
 
 
-def flood_fill(voxels: DataFrame, seed: tuple, lower: tuple, upper: tuple) -> DataFrame:
-    """Fill the empty cells of a box that 6-neighbour steps reach from ``seed``; frontiers are joined, not walked."""
+def flood_cells(voxels: DataFrame, seed: tuple, lower: tuple, upper: tuple) -> DataFrame:
+    """(x, y, z): the seed and the empty cells of a box that 6-neighbour steps reach from it.
+
+    The empty cells of every row along x, y and z are cut into runs first.  A sweep takes
+    the whole run of each cell that was reached, along each axis in turn, so an open space
+    is full after one, and a winding one after as many sweeps as its way has turns.
+    """
     spark = voxels.sparkSession
-    solid = stored(voxels.where(in_box(lower, upper)).select("x", "y", "z"), "solid")
-    reached = spark.createDataFrame([tuple(seed)], "x long, y long, z long").join(solid, ["x", "y", "z"], "left_anti")
-    frontier = reached
-    while True:
-        steps = _offset_rows(frontier, OFFSETS_6).select(*[(F.col(c) + F.col(f"o.o{c}")).alias(c) for c in "xyz"]).where(in_box(lower, upper)).distinct()
-        frontier = stored(steps.join(solid, ["x", "y", "z"], "left_anti").join(reached, ["x", "y", "z"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return union(voxels, reached)
-        reached = stored(reached.unionByName(frontier), "reached")
+    if not all(a <= v < b for a, v, b in zip(lower, seed, upper, strict=True)):
+        return spark.createDataFrame([], "x long, y long, z long")
+    first = spark.createDataFrame([tuple(map(int, seed))], "x long, y long, z long")
+    solid = voxels.where(in_box(lower, upper)).select("x", "y", "z").join(first, ["x", "y", "z"], "left_anti")
+    free = box_voxels(spark, lower, upper).join(solid, ["x", "y", "z"], "left_anti")
+    rows = {"x": ["y", "z"], "y": ["x", "z"], "z": ["x", "y"]}
+    for a, others in rows.items():
+        free = free.withColumn(f"run_{a}", F.col(a) - F.row_number().over(W.partitionBy(*others).orderBy(a)))
+    free = stored(free, "free")
+    reached, before, n = stored(free.join(first, ["x", "y", "z"], "left_semi"), "reached"), 0, 1
+    while n != before:
+        after = reached
+        for a, others in rows.items():
+            after = free.join(after.select(*others, f"run_{a}").distinct(), [*others, f"run_{a}"], "left_semi")
+        after = stored(after, "reached")
+        discard(reached)
+        reached, before, n = after, n, after.count()
+    discard(free)
+    return reached.select("x", "y", "z")
+
+
+def flood_fill(voxels: DataFrame, seed: tuple, lower: tuple, upper: tuple) -> DataFrame:
+    """``voxels`` and the empty cells of a box that 6-neighbour steps reach from an empty ``seed``."""
+    start = voxels.where(in_box(seed, tuple(v + 1 for v in seed)))
+    return voxels.select("x", "y", "z") if not start.isEmpty() else union(voxels, flood_cells(voxels, seed, lower, upper))
 
 
 def noise_sphere(voxels: DataFrame, centre: tuple, radius: float, resolution: int, seed: int = 0, add: bool = True, share: float = 0.5) -> DataFrame:
@@ -211,35 +265,51 @@ def new_items(items: DataFrame, known: DataFrame, content: list[str]) -> DataFra
 
 @dataclass
 class Versions:
-    """An append-only store of leaf edits with undo and redo."""
+    """An append-only store of edits with undo and redo: leaves, and materials where voxels have them.
+
+    A version keeps the leaves it changed and the materials it changed (of voxels that are
+    new or painted); a state is the last entry of each on the version's path.
+    """
 
     base: DataFrame
     log: list[DataFrame] = field(default_factory=list)
     at: int = 0
+    materials: DataFrame | None = None
+    painted: list[DataFrame] = field(default_factory=list)
 
     @classmethod
     def of(cls, voxels: DataFrame) -> "Versions":
-        return cls(stored(leaves(voxels), "version-base"))
+        has = "material" in voxels.columns
+        return cls(stored(leaves(voxels), "version-base"), materials=stored(voxels.select("x", "y", "z", "material"), "version-materials") if has else None)
+
+    def _last(self, base: DataFrame, log: list[DataFrame], key: list[str], values: list[str]) -> DataFrame:
+        if not log:
+            return base
+        rows = reduce(DataFrame.unionByName, (part.withColumn("version", F.lit(i)) for i, part in enumerate([base, *log])))
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "version").alias("v")).select(*key, "v.*")
 
     def state(self, version: int | None = None) -> DataFrame:
         """(tile, lo, hi) of a version (the current one by default)."""
         n = self.at if version is None else version
-        rows = self.base.withColumn("version", F.lit(0))
-        for i, part in enumerate(self.log[:n]):
-            rows = rows.unionByName(part.withColumn("version", F.lit(i + 1)))
-        if n == 0:
-            return self.base
-        last = rows.groupBy("tile").agg(F.max_by(F.struct("lo", "hi"), "version").alias("mask"))
-        return last.select("tile", "mask.lo", "mask.hi").where("lo <> 0 or hi <> 0")
+        return self._last(self.base, self.log[:n], ["tile"], ["lo", "hi"]).where("lo <> 0 or hi <> 0")
 
     def voxels(self, version: int | None = None) -> DataFrame:
-        return voxels_of_leaves(self.state(version))
-
-    def commit(self, edited: DataFrame) -> int:
-        """Record the leaves in which the voxel set ``edited`` differs; drops what was undone."""
-        new, old = leaves(edited), self.state()
+        """(x, y, z) and, where there are materials, material."""
+        n = self.at if version is None else version
+        found = voxels_of_leaves(self.state(n))
+        if self.materials is None:
+            return found
+        return found.join(self._last(self.materials, self.painted[:n], ["x", "y", "z"], ["material"]), ["x", "y", "z"])
+
+    def commit(self, edited: DataFrame, now: DataFrame | None = None) -> int:
+        """Record in what the voxel set ``edited`` differs (from ``now``, the current voxels, if they are at hand); drops what was undone."""
+        new, old = leaves(edited), self.state() if now is None else leaves(now)
         both = new.select("tile", F.struct("lo", "hi").alias("n")).join(old.select("tile", F.struct("lo", "hi").alias("o")), "tile", "full")
         changed = both.where(~F.col("n").eqNullSafe(F.col("o"))).select("tile", F.coalesce("n.lo", F.lit(0).cast("long")).alias("lo"), F.coalesce("n.hi", F.lit(0).cast("long")).alias("hi"))
+        if self.materials is not None:
+            before = (self.voxels() if now is None else now).withColumnRenamed("material", "was")
+            colors = edited.select("x", "y", "z", "material").join(before, ["x", "y", "z"], "left").where(~F.col("material").eqNullSafe(F.col("was")))
+            self.painted = [*self.painted[: self.at], stored(colors.drop("was"), "version-materials")]
         self.log = [*self.log[: self.at], stored(changed, "version")]
         self.at += 1
         return self.at
@@ -254,14 +324,17 @@ class Versions:
 
     def collected(self) -> "Versions":
         """Only what the current version reaches."""
-        return Versions(stored(self.state(), "version-base"))
+        return Versions(stored(self.state(), "version-base"), materials=None if self.materials is None else stored(self.voxels(), "version-materials"))
 
     def summary(self) -> DataFrame:
-        """(version, changed_leaves) of the log."""
-        out = self.base.select(F.lit(0).alias("version"), F.lit(1).cast("long").alias("one"))
-        for i, part in enumerate(self.log):
-            out = out.unionByName(part.select(F.lit(i + 1).alias("version"), F.lit(1).cast("long").alias("one")))
-        return out.groupBy("version").agg(F.sum("one").alias("changed_leaves"))
+        """(version, changed_leaves, changed_materials) of the log; version 0 is the base."""
+        out = None
+        for i, part in enumerate([self.base, *self.log]):
+            colors = None if self.materials is None else [self.materials, *self.painted][i]
+            row = part.agg(F.count("*").alias("changed_leaves")).select(F.lit(i).alias("version"), "changed_leaves")
+            row = row.withColumn("changed_materials", F.lit(0).cast("long")) if colors is None else row.crossJoin(F.broadcast(colors.agg(F.count("*").alias("changed_materials"))))
+            out = row if out is None else out.unionByName(row)
+        return out
 
 
 def check_leaves(state: DataFrame) -> DataFrame:
@@ -273,52 +346,67 @@ def check_leaves(state: DataFrame) -> DataFrame:
 
 # --- replay -----------------------------------------------------------------------
 
+#: Actions that change the voxel set.
+EDITS = ("sphere", "box", "copy", "fill", "paint", "erode")
+
+
 def apply_edit(voxels: DataFrame, e: dict, resolution: int, scale: float = 1.0) -> DataFrame:
-    """One action of a replay on a voxel set; coordinates are multiplied by ``scale``."""
-    p = lambda *names: tuple((e.get(n) or 0.0) * scale for n in names)
-    kind = e["action"]
-    if kind == "sphere":
-        ball = in_sphere(p("x", "y", "z"), (e["radius"] or 0.0) * scale)
-        return union(voxels, sphere_voxels(voxels.sparkSession, p("x", "y", "z"), e["radius"] * scale, resolution)) if e["add"] else voxels.where(~ball)
-    if kind == "box":
-        half = (e["radius"] or 0.0) * scale
-        lower = tuple(max(0, int(v - half)) for v in p("x", "y", "z"))
-        upper = tuple(min(resolution, int(v + half) + 1) for v in p("x", "y", "z"))
-        return union(voxels, box_voxels(voxels.sparkSession, lower, upper)) if e["add"] else voxels.where(~in_box(lower, upper))
+    """One edit on voxels (x, y, z, material); coordinates are multiplied by ``scale``.
+
+    A region holds the voxels whose cube it touches.  Added and painted voxels take the
+    edit's material, also where a voxel was; filled ones take 0 unless the edit has one.
+    """
+    spark = voxels.sparkSession
+    p = lambda *names: tuple(float(e.get(n) or 0.0) * scale for n in names)
+    kind, centre, radius = e["action"], p("x", "y", "z"), float(e.get("radius") or 0.0) * scale
+    material = F.lit(int(e.get("material") or 0)).alias("material")
     if kind == "copy":
-        r = (e["radius"] or 0.0) * scale
-        lower, to = (tuple(int(v - r) for v in p(*n)) for n in (("sx", "sy", "sz"), ("x", "y", "z")))
-        return copy_box(voxels, lower, tuple(int(v + 2 * r) + 1 for v in lower), to, resolution)
+        period = e["period"] if e.get("swirl") else None
+        return copy_transformed(voxels, p("sx", "sy", "sz"), p("dx", "dy", "dz"), centre, radius, resolution, e.get("matrix"), period)
+    if kind == "fill":
+        lower = tuple(floor(v - radius) for v in centre)
+        side = 2 * ceil(radius)
+        box = tuple(max(0, a) for a in lower), tuple(min(resolution, a + side) for a in lower)
+        cells = flood_cells(voxels, tuple(a + side // 2 for a in lower), *box)
+        return voxels.unionByName(cells.join(voxels.select("x", "y", "z"), ["x", "y", "z"], "left_anti").withColumn("material", material))
+    inside = (touched_by_box if kind == "box" else touched_by_sphere)(centre, radius)
+    if kind == "paint":
+        return voxels.withColumn("material", F.when(inside, material).otherwise(F.col("material")))
     if kind == "erode":
-        ball = in_sphere(p("x", "y", "z"), (e["radius"] or 0.0) * scale)
-        counts = neighbour_counts(voxels)
-        return counts.where(~ball | (F.col("neighbours") >= (e.get("min_neighbors") or 14))).select("x", "y", "z")
-    return voxels
+        counts = neighbour_counts(voxels).where(F.col("neighbours") >= (e.get("min_neighbors") or 14))
+        return voxels.where(~inside).unionByName(voxels.where(inside).join(counts.select("x", "y", "z"), ["x", "y", "z"], "left_semi"))
+    if kind not in EDITS:
+        raise ValueError(f"{kind!r} is no edit")
+    rest = voxels.where(~inside)
+    return rest.unionByName(cells_about(spark, centre, radius, resolution).where(inside).withColumn("material", material)) if e.get("add") else rest
 
 
 def replay(voxels: DataFrame, edits: DataFrame, resolution: int, scale: float = 1.0) -> Versions:
-    """Apply an ordered edit log: a version a frame; ``undo`` and ``redo`` actions move in the versions.
+    """Apply an ordered edit log: a version an edit; ``undo`` and ``redo`` move in the versions, other actions change nothing.
 
-    The log is a list of commands, read to the driver a row at a time; the sets stay in Spark.
+    The log is a list of commands, read to the driver a row at a time; the sets stay in
+    Spark.  A row with a fault stops the replay before anything is applied.  Voxels
+    without materials have material 0.
     """
-    versions = Versions.of(voxels)
-    frame, current, dirty = None, voxels, False
+    if "fault" in edits.columns:
+        bad = edits.where("fault is not null").orderBy("seq").select("seq", "action", "fault").first()
+        if bad is not None:
+            raise ValueError(f"row {bad['seq']} of the log ({bad['action']}) has a fault: {bad['fault']}")
+    now = stored(voxels if "material" in voxels.columns else voxels.withColumn("material", F.lit(0)), "replay")
+    versions = Versions.of(now)
     for row in edits.orderBy("seq").toLocalIterator():
         e = row.asDict()
-        if frame is not None and e["frame"] != frame and dirty:
-            versions.commit(current)
-            current, dirty = versions.voxels(), False
-        frame = e["frame"]
         if e["action"] in ("undo", "redo"):
-            if dirty:
-                versions.commit(current)
-                dirty = False
             getattr(versions, e["action"])()
-            current = versions.voxels()
-        elif e["action"] not in ("end_frame", None):
-            current, dirty = apply_edit(current, e, resolution, scale), True
-    if dirty:
-        versions.commit(current)
+            after = stored(versions.voxels(), "replay")
+        elif e["action"] in EDITS:
+            after = stored(apply_edit(now, e, resolution, scale), "replay")
+            versions.commit(after, now)
+        else:
+            continue
+        discard(now)
+        now = after
+    discard(now)
     return versions
 
 

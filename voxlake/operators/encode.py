@@ -7,21 +7,18 @@ batches, from nodes whose offsets are running sums; decoding joins down the leve
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from voxlake.functions import huffman, symmetries
+from voxlake.functions import symmetries
 from voxlake.functions import morton as m
 from voxlake.operators.dag import Dag, running_start
 from voxlake.operators.symmetric import SymmetricDag
 from voxlake.schema import CHILDREN
 from voxlake.storage import stored
 
-#: Words that a direct pointer may take, and bits of a word.
-MOST_WORDS, WORD = 3, 16
-#: Table slots that a one-word pointer reaches.
-NEAR_SLOTS = 1 << 16
+#: Bits of a word.
+WORD = 16
 
 
 # --- 32-bit words -----------------------------------------------------------------
@@ -79,101 +76,6 @@ def svdag32_members(words: DataFrame, queries: DataFrame, root: int) -> DataFram
 
 # --- 16-bit words -----------------------------------------------------------------
 
-def pointer_type(g: Column, tx: Column, ty: Column, tz: Column) -> Column:
-    """Code of a pointer's shape: transform in the low six bits, then which shifts are stored."""
-    stored_axes = sum((F.when(t != 0, 1 << i).otherwise(0) for i, t in enumerate((tx, ty, tz))), F.lit(0))
-    return (g + stored_axes * 64).cast("int")
-
-
-def transform_edges(sym: SymmetricDag) -> DataFrame:
-    """(level, parent, slot, child, g, tx, ty, tz); level is the parent's, shifts are zero."""
-    zero = [F.lit(0).alias(t) for t in ("tx", "ty", "tz")]
-    return reduce(DataFrame.unionByName, (sym.edges(k).select(F.lit(k).alias("level"), "parent", "slot", "child", "g", *zero) for k in range(3, sym.dag.root + 1)))
-
-
-def distinct_pointers(edges: DataFrame) -> DataFrame:
-    """(level, child, g, tx, ty, tz, type, refs)."""
-    keys = ["level", "child", "g", "tx", "ty", "tz"]
-    return edges.groupBy(*keys).agg(F.count("*").alias("refs")).withColumn("type", pointer_type(F.col("g"), F.col("tx"), F.col("ty"), F.col("tz")))
-
-
-def pointer_types(pointers: DataFrame) -> DataFrame:
-    """(level, type, pointers): distinct pointers of each shape."""
-    return pointers.groupBy("level", "type").agg(F.count("*").alias("pointers"))
-
-
-def type_codes(pointers: DataFrame) -> DataFrame:
-    """(level, type, pointers, length, code): Huffman codes of the shapes, by level (a few hundred symbols each)."""
-
-    def coded(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("type")
-        lengths = huffman.limited_lengths(f["pointers"].tolist(), 16)
-        return f.assign(length=np.array(lengths, dtype=np.int32), code=huffman.code_words(lengths))[["level", "type", "pointers", "length", "code"]]
-
-    return pointer_types(pointers).groupBy("level").applyInPandas(coded, "level int, type int, pointers long, length int, code string")
-
-
-def pointer_layout(pointers: DataFrame, child_rank: DataFrame) -> DataFrame:
-    """Pointers with rank, code and size: index bits, ``level`` + 1 bits a stored shift, code bits; whole 16-bit words."""
-    levels = child_rank.groupBy("level").agg(F.max("rank").alias("most"))
-    index_bits = F.greatest(F.lit(1), F.ceil(F.log2(F.col("most") + 1.5)).cast("int"))
-    made = pointers.join(child_rank.select((F.col("level") + 1).alias("level"), "child", "rank"), ["level", "child"])
-    made = made.join(levels.select((F.col("level") + 1).alias("level"), index_bits.alias("index_bits")), "level").join(type_codes(pointers).select("level", "type", "length", "code"), ["level", "type"])
-    shifts = sum((F.when(F.col(t) != 0, F.col("level")).otherwise(0) for t in ("tx", "ty", "tz")), F.lit(0))
-    bits = F.col("index_bits") + shifts + F.col("length")
-    return made.withColumn("bits", bits.cast("int")).withColumn("words", F.greatest(F.lit(1), F.ceil(F.col("bits") / WORD)).cast("int"))
-
-
-def table_decisions(pointers: DataFrame) -> DataFrame:
-    """``pointers`` with ``in_table``, ``slot`` and ``stored_words``.
-
-    A pointer of more than three words must stand in the level's table; one of two or
-    more does where that is smaller: refs * table words + 4 < refs * direct words.  The
-    first 65536 slots are reached by one word, the rest by two; slots go by falling
-    references.  A slot's cost depends on how many pointers precede it, so pointers are
-    decided in that order a level at a time.
-    """
-
-    def decide(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["refs", "child", "g"], ascending=[False, True, True])
-        slot, slots, inside, size = 0, [], [], []
-        for refs, words in zip(f["refs"].tolist(), f["words"].tolist(), strict=True):
-            cost = 1 if slot < NEAR_SLOTS else 2
-            use = words > MOST_WORDS or (words >= 2 and refs * cost + 4 < refs * words)
-            inside.append(use)
-            slots.append(slot if use else -1)
-            size.append(cost if use else words)
-            slot += use
-        return f.assign(in_table=inside, slot=np.array(slots, dtype=np.int64), stored_words=np.array(size, dtype=np.int32))
-
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pointers.schema)
-    return pointers.groupBy("level").applyInPandas(decide, f"{kind}, in_table boolean, slot long, stored_words int")
-
-
-def encoded16_sizes(sym: SymmetricDag) -> DataFrame:
-    """(level, nodes, node_words, table_slots, pointers_1, pointers_2, pointers_3, bytes) of the 16-bit form.
-
-    A node is a header word (two bits a child: its pointer's words) and its pointers; a
-    table slot is four words; a leaf is four words.
-    """
-    edges = stored(transform_edges(sym), "transform-edges")
-    refs = edges.groupBy((F.col("level") - 1).alias("level"), "child").agg(F.count("*").alias("refs"))
-    rank = refs.withColumn("rank", F.row_number().over(W.partitionBy("level").orderBy(F.desc("refs"), "child")) - 1)
-    decided = stored(table_decisions(pointer_layout(distinct_pointers(edges), rank)), "pointers")
-    keys = ["level", "child", "g", "tx", "ty", "tz"]
-    sized = edges.join(decided.select(*keys, "stored_words"), keys)
-    nodes = sized.groupBy("level", "parent").agg((F.sum("stored_words") + 1).alias("w"))
-    per = nodes.groupBy("level").agg(F.count("*").alias("nodes"), F.sum("w").alias("node_words"))
-    kinds = sized.groupBy("level").agg(*[F.sum(F.when(F.col("stored_words") == n, 1).otherwise(0)).alias(f"pointers_{n}") for n in (1, 2, 3)])
-    tables = decided.groupBy("level").agg(F.sum(F.col("in_table").cast("long")).alias("table_slots"))
-    inner = per.join(tables, "level").join(kinds, "level")
-    leaf = sym.classes[2].where("id = cid").agg(F.count("*").alias("nodes")).select(
-        F.lit(2).alias("level"), "nodes", (F.col("nodes") * 4).alias("node_words"), *[F.lit(0).cast("long").alias(c) for c in ("table_slots", "pointers_1", "pointers_2", "pointers_3")]
-    )
-    both = inner.select("level", "nodes", "node_words", "table_slots", "pointers_1", "pointers_2", "pointers_3").unionByName(leaf)
-    return both.withColumn("bytes", (F.col("node_words") + 4 * F.col("table_slots")) * 2)
-
-
 def header_word(lengths: list[int]) -> int:
     """Two bits a child: the words of its pointer, 0 for none."""
     return sum(n << 2 * i for i, n in enumerate(lengths))
@@ -251,6 +153,41 @@ def decoded16(words: DataFrame, root: int) -> DataFrame:
     return voxels_of_leaves(now.select(F.col("morton").alias("tile"), half(0).alias("lo"), half(2).alias("hi")))
 
 
+def members16(words: DataFrame, queries: DataFrame, root: int) -> DataFrame:
+    """``queries`` (x, y, z) with ``found``, reading ``no_transform16``: a join a level on word starts."""
+    state = queries.withColumns({"_m": m.morton3(), "_at": F.lit(0).cast("long")})
+    header = F.element_at("_w", 1)
+    for level in range(root, 2, -1):
+        here = words.where(F.col("level") == level).select(F.col("start").alias("_s"), F.col("words").alias("_w"))
+        state = state.withColumn("_slot", F.pmod(m.ascend("_m", level - 1), F.lit(8)).cast("int")).join(here, F.col("_at") == F.col("_s"), "left")
+        # words of the children up to the slot's own, two bits each, by the even and odd bits of the header
+        below = lambda n: header.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("_slot") * 2).cast("int")) - 1).bitwiseAND(F.lit(n))  # noqa: B023, E731
+        state = state.withColumns({"_k": F.call_function("shiftright", header, (F.col("_slot") * 2).cast("int")).bitwiseAND(F.lit(3)), "_from": (F.bit_count(below(0x5555)) + 2 * F.bit_count(below(0xAAAA)) + 2).cast("int")})
+        part = lambda j: F.when(F.col("_k") > j, F.element_at("_w", F.col("_from") + j).cast("long") * (1 << WORD * j)).otherwise(0)  # noqa: B023, E731
+        state = state.withColumn("_at", F.when(F.col("_k") > 0, part(0) + part(1) + part(2))).drop("_s", "_w", "_slot", "_k", "_from")
+    half = lambda i: F.element_at("words", i + 1).cast("long") + F.element_at("words", i + 2).cast("long") * 65536
+    leaf = words.where("level = 2").select(F.col("start").alias("_s"), half(0).alias("lo"), half(2).alias("hi"))
+    found = F.coalesce(m.has_bit(F.pmod(F.col("_m"), F.lit(64))) & (m.ascend("_m", root) == 0), F.lit(False))
+    return state.join(leaf, F.col("_at") == F.col("_s"), "left").select(*queries.columns, found.alias("found"))
+
+
+def svo32_words(dag: Dag) -> DataFrame:
+    """(level, morton, place, first, mask) of the tree: a node's place in Morton order within its level, its first
+    child's place in the level below, and its child mask; a leaf has its mask's halves (first: low, mask: high)."""
+    out, below = [], None
+    for level in range(2, dag.root + 1):
+        nodes = dag.tree[level].select(F.lit(0).alias("_g"), "morton", F.lit(1).cast("long").alias("_one"))
+        placed = stored(running_start(nodes, "_g", "morton", "_one", "place").select("morton", "place"), "places")
+        if level == 2:
+            held = dag.tree[2].join(dag.nodes[2], "id").select("morton", F.col("lo").alias("first"), F.col("hi").alias("mask"))
+        else:
+            slot = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("morton", F.lit(8)).cast("int"))
+            held = below.groupBy(F.shiftright("morton", 3).alias("morton")).agg(F.min("place").alias("first"), F.bit_or(slot).alias("mask"))
+        out.append(placed.join(held, "morton").select(F.lit(level).alias("level"), "morton", "place", "first", "mask"))
+        below = placed
+    return reduce(DataFrame.unionByName, out)
+
+
 def symmetric_voxels(sym: SymmetricDag) -> DataFrame:
     """Voxels (x, y, z) of the canonical nodes, unfolding transforms from the root down: the round trip."""
     root = sym.dag.root
@@ -265,5 +202,3 @@ def symmetric_voxels(sym: SymmetricDag) -> DataFrame:
     table = F.array(*[F.lit(int(x)) for x in symmetries.leaf_bits().ravel()])
     key = F.shiftleft("morton", 6).bitwiseOR(F.element_at(table, (F.col("g") * 64 + F.col("bit") + 1).cast("int")).cast("long"))
     return bits.select(key.alias("m")).select(*[c.alias(n) for c, n in zip(m.unmorton3("m"), "xyz", strict=True)])
-
-

@@ -13,10 +13,15 @@ from voxlake.functions import morton as m
 from voxlake.schema import CHILDREN
 
 
-def voxels_from(table: DataFrame, x: str, y: str, z: str, resolution: int) -> DataFrame:
-    """Distinct (x, y, z) of three integer columns, each modulo ``resolution``."""
+def cells_from(table: DataFrame, x: str, y: str, z: str, resolution: int) -> DataFrame:
+    """(x, y, z) of three integer columns, each modulo ``resolution``; enough where leaves follow, as masks take a voxel once."""
     cut = lambda c, n: F.pmod(F.col(c).cast("long"), F.lit(resolution)).alias(n)
-    return table.select(cut(x, "x"), cut(y, "y"), cut(z, "z")).distinct()
+    return table.select(cut(x, "x"), cut(y, "y"), cut(z, "z"))
+
+
+def voxels_from(table: DataFrame, x: str, y: str, z: str, resolution: int) -> DataFrame:
+    """Distinct ``cells_from``."""
+    return cells_from(table, x, y, z, resolution).distinct()
 
 
 def with_morton(voxels: DataFrame) -> DataFrame:

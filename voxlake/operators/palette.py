@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from voxlake.functions import colors as c
 from voxlake.functions import morton as m
 from voxlake.operators.dag import running_start
-from voxlake.storage import stored
+from voxlake.storage import discard, stored
 
 #: Colour error above which a compressed colour counts as bad.
 MOST_ERROR = 0.04
@@ -23,9 +23,14 @@ def color_counts(colors: DataFrame) -> DataFrame:
     return colors.groupBy("r", "g", "b").agg(F.count("*").alias("n"))
 
 
-def material_means(voxels: DataFrame) -> DataFrame:
-    """(material, r, g, b) means of coloured voxels."""
-    return voxels.groupBy("material").agg(*[F.avg(n).alias(n) for n in "rgb"])
+#: Spaces of ``material_means``, each with its channels' names.
+SPACES = {"rgb": (lambda rgb: rgb, "rgb"), "yuv": (c.yuv, "yuv"), "lab": (c.lab, "lab")}
+
+
+def material_means(voxels: DataFrame, space: str = "rgb") -> DataFrame:
+    """(material, and the channels' names) means of coloured voxels in a colour space."""
+    convert, names = SPACES[space]
+    return voxels.groupBy("material").agg(*[F.avg(x).alias(n) for x, n in zip(convert(_rgb()), names, strict=True)])
 
 
 def _candidates(colors: DataFrame, palette: DataFrame) -> DataFrame:
@@ -55,19 +60,25 @@ def palette_costs(colors: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def reduced_palette(colors: DataFrame, palette: DataFrame, keep: int) -> DataFrame:
-    """Drop the cheapest material until ``keep`` are left; a pass a drop over the distinct colours."""
-    counts = stored(color_counts(colors), "color-counts")
-    expanded = counts.withColumn("n", F.col("n"))
-    now = palette
-    while now.count() > keep:
-        both = _candidates(expanded, now)
-        two = both.groupBy("r", "g", "b", "n").agg(F.array_sort(F.collect_list(F.struct("d", "material"))).alias("by"))
-        first, second = F.element_at("by", 1), F.try_element_at("by", F.lit(2))
-        step = two.select(first.material.alias("material"), (F.col("n") * (second.d - first.d)).alias("cost"))
-        cost = now.select("material").join(step, "material", "left").groupBy("material").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
-        worst = cost.orderBy("cost", "material").first()["material"]
-        now = now.where(F.col("material") != worst)
-    return now
+    """Drop the cheapest material until ``keep`` are left.
+
+    Each distinct colour's materials are sorted by distance once and stored; a drop is an
+    aggregation over the first two that are left, and its driver holds the dropped materials.
+    """
+    both = _candidates(color_counts(colors), palette)
+    by = stored(both.groupBy("r", "g", "b").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("d", "material"))).alias("by")), "palette-distances")
+    materials = [r["material"] for r in palette.select("material").orderBy("material").collect()]  # the palette's size is checked
+    dropped: list = []
+    while len(materials) > max(keep, 1):
+        left = F.filter("by", lambda x: ~x.material.isin(dropped)) if dropped else F.col("by")
+        two = by.select("n", F.slice(left, 1, 2).alias("two"))
+        step = two.select(F.element_at("two", 1).material.alias("material"), (F.col("n") * (F.element_at("two", 2).d - F.element_at("two", 1).d)).alias("cost"))
+        cost = {r["material"]: r["cost"] for r in step.groupBy("material").agg(F.sum("cost").alias("cost")).collect()}
+        worst = min(materials, key=lambda m: (cost.get(m, 0.0), m))
+        materials.remove(worst)
+        dropped.append(worst)
+    discard(by)
+    return palette.where(F.col("material").isin(materials))
 
 
 def usable_faces(faces: DataFrame) -> DataFrame:

@@ -1,26 +1,34 @@
 """Items that are crops of shifted items: dedup by translation.
 
 ``out[v] = in[v - t]``, voxels that fall outside are dropped; so "a can rebuild b" is
-directional.  Candidate pairs come from an equi join of signatures: along each
-axis pair, a running hash from each voxel of the parent against the hash of the child
-from its corner that the shift leaves.  A pair is then verified by rebuilding the
-child, and each child takes the least verified parent, parents in order of falling
-population, then id (itself included, so every item has one).  A child whose best
-parent is not kept itself resolves one step only: kept are items without another
-parent, and items that are someone's parent.
+directional.  A shift crops a parent on one side of each axis; seen from the octant of
+those sides, the child is the parent's part from the shift's cell to the far corner.  A
+running hash over each axis gives that part's signature for every cell at once, the
+child's own is that of its whole grid, and the two are joined.  Only the least parent of
+a signature is joined, parents in order of falling population, then id, so a signature
+that all parents share (one voxel) is an aggregate, not a product.  The parent's rows are
+dropped at once where a bitmap of fixed size holds no child's signature.
+
+Each child's best parent (itself at least) is verified by rebuilding the child; should two
+contents ever share a signature, the child stands for itself.  A child whose best parent
+is not kept itself resolves one step only: kept are items without another parent, and
+items that are someone's parent.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from voxlake.functions import symmetries as s
+from voxlake.operators.dag import ranked
 from voxlake.storage import stored
 
-#: Salt of the signature hash.
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Salt of the signature hash, and the 64-bit words that it is taken in.
+MIX, _WHOLE = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: An odd multiplier an axis.  They are drawn, as multiples of one number by small ones let sums of different cells agree.
+AXES = [int(k) | 1 for k in np.random.default_rng(MIX).integers(1 << 62, 1 << 63, size=3)]
 
 
 def grids_of_leaves(leaf: DataFrame) -> DataFrame:
@@ -112,15 +120,14 @@ def shifted_grid(grid: np.ndarray, t: tuple[int, int, int]) -> np.ndarray:
     return out
 
 
-def suffix_signatures(grid: np.ndarray) -> np.ndarray:
-    """Hash of the box from each voxel to the grid's far corner; 0 where that box is empty.
+def suffix_signatures(grids: np.ndarray) -> np.ndarray:
+    """Of (n, side, side, side) grids, the hash of the box from each voxel to the far corner; 0 where that is empty.
 
     The running hash of an axis is a polynomial in the distance from the voxel, so equal
     contents seen from two voxels hash alike, whatever lies behind them.
     """
-    h = grid.astype(np.uint64)
-    for axis, salt in enumerate((3, 5, 7)):
-        k = MIX * np.uint64(salt) | np.uint64(1)
+    h = grids.astype(np.uint64)
+    for axis, k in enumerate(map(np.uint64, AXES), 1):
         h = np.moveaxis(h, axis, 0).copy()
         for i in range(h.shape[0] - 2, -1, -1):
             h[i] = h[i] + k * h[i + 1]
@@ -128,91 +135,111 @@ def suffix_signatures(grid: np.ndarray) -> np.ndarray:
     return h
 
 
-def _octants(grid: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    for o in range(8):
-        yield o, transformed_grid(grid, o)
+def _views(cells: list[bytes], side: int, orders: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(axis order, flips, signatures of all grids so turned)."""
+    grids = np.stack([unpacked(c, side) for c in cells])
+    for order in orders:
+        turned = grids.transpose(0, *(1 + a for a in s.ORDERS[order]))
+        for flips in range(8):
+            view = turned
+            for a in range(3):
+                if flips >> a & 1:
+                    view = np.flip(view, a + 1)
+            yield order, flips, suffix_signatures(view)
 
 
-def _signatures(side: int, group: list[int], corners: bool):
-    """A mapper from grids to signature rows.
+def _keyed(signatures: np.ndarray, octant: int) -> np.ndarray:
+    """Signatures with their octant mixed in, as signed longs."""
+    return ((signatures ^ np.uint64(MIX * (octant + 1) & _WHOLE)) * np.uint64(MIX)).view(np.int64)
+
+
+#: Bits of the bitmap of children's signatures.
+BITMAP = 1 << 26
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - 26)).astype(np.int64)
 
-    A shift by t with octant o (which ends the shift crops) leaves, of the child, the
-    part from |t| on, and of the parent the part up to the end less |t|; mirrored by
-    the octant, both are boxes to the far corner.  A child's row is its whole box (its
-    own first voxels are then empty), so children are keyed by their first occupied
-    corner, parents by each voxel.
-    """
+
+def child_signatures(grids: DataFrame, side: int) -> DataFrame:
+    """(id, octant, signature) of whole grids, eight rows an item."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for item, cells in zip(f["id"], f["cells"], strict=True):
-                grid = unpacked(cells, side)
-                if not grid.any():
-                    continue
-                if corners:
-                    # the occupied part's low corner in each octant; its signature names the part
-                    for o, view in _octants(grid):
-                        low = tuple(int(np.flatnonzero(view.any(axis=tuple(b for b in range(3) if b != a)))[0]) for a in range(3))
-                        rows.append((item, o, 0, *low, int(suffix_signatures(view)[low].view(np.int64))))
-                else:
-                    for g in group:
-                        turned = transformed_grid(grid, g)
-                        for o, view in _octants(turned):
-                            sig = suffix_signatures(view)
-                            at = np.argwhere(sig != 0)
-                            rows += [(item, o, g, *p, int(v)) for p, v in zip(at.tolist(), sig[tuple(at.T)].view(np.int64).tolist(), strict=True)]
-            yield pd.DataFrame(rows, columns=["id", "octant", "g", "x", "y", "z", "signature"])
-
-    return run
-
-
-_SIGNATURE = "id long, octant int, g int, x int, y int, z int, signature long"
-
-
-def candidate_pairs(grids: DataFrame, side: int, group: list[int]) -> DataFrame:
-    """(child, parent, g, tx, ty, tz): shifts under which a parent's crop may be the child.
-
-    In the octant's view a shift moves the parent's voxel p to the child's corner c, so
-    t = c - p there, and back in the grid each mirrored axis changes sign.
+            if len(f):
+                yield pd.concat([pd.DataFrame({"id": f["id"], "octant": np.int32(o), "signature": _keyed(sig[:, 0, 0, 0].copy(), o)}) for _, o, sig in _views(f["cells"].tolist(), side, [0])])
+
+    return grids.mapInPandas(run, "id long, octant int, signature long")
+
+
+def _bitmap(children: DataFrame) -> bytes:
+    """A bit for every value of the signatures' leading bits; 8 MB at any size."""
+    word = F.floor(F.expr("shiftrightunsigned(signature, 38)") / 64).cast("int").alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.expr("shiftrightunsigned(signature, 38)"), F.lit(64)).cast("int")).alias("bit")
+    out = np.zeros(BITMAP // 64, dtype=np.int64)
+    for part in children.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[part["word"]] = part["bits"]
+    return out.tobytes()
+
+
+def parent_rows(grids: DataFrame, side: int, group: list[int], wanted: bytes) -> DataFrame:
+    """(signature, octant, n, parent, g, tx, ty, tz) of the shifted crops whose signatures ``wanted`` may hold.
+
+    Mirrors only change which octant a view is seen from, so an axis order's eight views
+    serve all its mirrors.
     """
-    child = grids.mapInPandas(_signatures(side, group, True), _SIGNATURE)
-    parent = grids.mapInPandas(_signatures(side, group, False), _SIGNATURE).withColumnsRenamed({"id": "parent", "x": "px", "y": "py", "z": "pz", "g": "pg"})
-    pairs = child.join(parent, ["signature", "octant"])
-    shift = [F.when(F.col("octant").bitwiseAND(F.lit(1 << a)) != 0, F.col(f"p{c}") - F.col(c)).otherwise(F.col(c) - F.col(f"p{c}")).alias(f"t{c}") for a, c in enumerate("xyz")]
-    return pairs.select(F.col("id").alias("child"), "parent", F.col("pg").alias("g"), *shift).distinct()
+    orders = sorted({g >> 3 for g in group})
+    mirrors = {o: [g & 7 for g in group if g >> 3 == o] for o in orders}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(np.frombuffer(wanted, np.uint8), bitorder="little").astype(bool)
+        for whole in frames:
+            for at in range(0, len(whole), 256):
+                f = whole.iloc[at : at + 256]
+                ids = f["id"].to_numpy()
+                n = np.array([int(np.unpackbits(np.frombuffer(c, np.uint8)).sum()) for c in f["cells"]], dtype=np.int32)
+                for order, flips, sig in _views(f["cells"].tolist(), side, orders):
+                    flat = sig.reshape(len(f), -1)
+                    for mirror in mirrors[order]:
+                        octant = flips ^ mirror
+                        keys = _keyed(flat.ravel(), octant)
+                        hit = np.flatnonzero(bits[_places(keys)] & (flat.ravel() != 0))
+                        item, cell = hit // side**3, hit % side**3
+                        q = np.stack([cell // side**2, cell // side % side, cell % side], axis=1)
+                        t = np.where([octant >> a & 1 for a in range(3)], q, -q).astype(np.int32)
+                        yield pd.DataFrame({"signature": keys[hit], "octant": np.int32(octant), "n": n[item], "parent": ids[item], "g": np.int32(order << 3 | mirror), "tx": t[:, 0], "ty": t[:, 1], "tz": t[:, 2]})
+
+    return grids.mapInPandas(run, "signature long, octant int, n int, parent long, g int, tx int, ty int, tz int")
 
 
 def verified(pairs: DataFrame, grids: DataFrame, side: int) -> DataFrame:
-    """The pairs whose parent, transformed and shifted, is the child."""
+    """The pairs, with a child whose parent, transformed and shifted, is another grid standing for itself."""
     both = pairs.join(grids.select(F.col("id").alias("child"), F.col("cells").alias("want")), "child").join(grids.select(F.col("id").alias("parent"), F.col("cells").alias("have")), "parent")
     columns = ["child", "parent", "g", "tx", "ty", "tz"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            good = [
-                packed(shifted_grid(transformed_grid(unpacked(have, side), g), (x, y, z))) == bytes(want)
+            bad = np.array([
+                packed(shifted_grid(transformed_grid(unpacked(have, side), g), (x, y, z))) != bytes(want)
                 for have, want, g, x, y, z in zip(f["have"], f["want"], f["g"], f["tx"], f["ty"], f["tz"], strict=True)
-            ]
-            yield f.loc[good, columns] if len(f) else f[columns]
+            ], dtype=bool)
+            out = f[columns].copy()
+            out.loc[bad, "parent"] = out.loc[bad, "child"]
+            out.loc[bad, ["g", "tx", "ty", "tz"]] = 0
+            yield out
 
     return both.mapInPandas(run, "child long, parent long, g int, tx int, ty int, tz int")
 
 
 def best_parents(grids: DataFrame, side: int, group: list[int] | None = None) -> DataFrame:
-    """(child, parent, g, tx, ty, tz, order): every item's least verified parent."""
+    """(child, parent, g, tx, ty, tz): every item's least parent that rebuilds it."""
     grids = stored(grids, "grids")
-    found = verified(candidate_pairs(grids, side, group or [0]), grids, side)
-    bits = grids.select(F.col("id").alias("parent"), F.bit_count(F.lit(0)).alias("z"), "cells")
-
-    @F.pandas_udf("int")
-    def population(cells: pd.Series) -> pd.Series:
-        return cells.map(lambda c: int(np.unpackbits(np.frombuffer(c, np.uint8)).sum())).astype("int32")
-
-    sized = bits.select("parent", population("cells").alias("n"))
+    children = stored(child_signatures(grids, side), "signatures")
     far = F.abs("tx") + F.abs("ty") + F.abs("tz")
-    order = F.struct((-F.col("n")).alias("n"), F.col("parent"), far.alias("far"), F.col("g"), F.col("tx"), F.col("ty"), F.col("tz"))
-    return found.join(sized, "parent").groupBy("child").agg(F.min(order).alias("best")).select("child", "best.parent", "best.g", "best.tx", "best.ty", "best.tz")
+    order = F.struct((-F.col("n")).alias("n"), "parent", far.alias("far"), "g", "tx", "ty", "tz")
+    least = parent_rows(grids, side, group or [0], _bitmap(children)).groupBy("signature", "octant").agg(F.min(order).alias("best"))
+    best = children.join(least, ["signature", "octant"]).groupBy(F.col("id").alias("child")).agg(F.min("best").alias("best"))
+    return verified(best.select("child", "best.parent", "best.g", "best.tx", "best.ty", "best.tz"), grids, side)
 
 
 def kept_items(best: DataFrame) -> DataFrame:
@@ -230,14 +257,10 @@ def mapping(best: DataFrame) -> DataFrame:
 
 
 def by_population(grids: DataFrame) -> DataFrame:
-    """(id, n, place): items by falling population, then id; the counts' prefix sums come first."""
+    """(id, n, place): items by falling population, then id."""
     @F.pandas_udf("int")
     def population(cells: pd.Series) -> pd.Series:
         return cells.map(lambda c: int(np.unpackbits(np.frombuffer(c, np.uint8)).sum())).astype("int32")
 
-    rows = stored(grids.select("id", population("cells").alias("n"), F.shiftright("id", 18).alias("part")), "population")
-    sums = rows.groupBy("n", "part").agg(F.count("*").alias("k"))
-    before = W.orderBy(F.desc("n"), "part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
-    inside = W.partitionBy("n", "part").orderBy("id")
-    return rows.join(sums, ["n", "part"]).select("id", "n", (F.col("before") + F.row_number().over(inside) - 1).alias("place"))
+    rows = grids.select(F.lit(0).alias("_g"), "id", population("cells").alias("n"))
+    return ranked(rows, "_g", [F.desc("n"), F.asc("id")], "place").drop("_g")

@@ -74,9 +74,15 @@ def overlaps(lower: np.ndarray, tri: np.ndarray, conservative: bool = True) -> n
     return ok
 
 
-def surface(triangles: DataFrame, resolution: int, conservative: bool = True) -> DataFrame:
-    """(x, y, z) of the voxels that triangles (in voxel units) meet."""
+def surface(triangles: DataFrame, resolution: int, conservative: bool = True, two_pass: bool = False) -> DataFrame:
+    """(x, y, z) of the voxels that triangles (in voxel units) meet.
+
+    With ``two_pass`` a triangle's tiles are tested first, and only those that it meets
+    are searched: a large slanted triangle's box has many tiles that it does not meet.
+    """
     tiled = tiles_of(valid_triangles(triangles), resolution)
+    if two_pass:
+        tiled = _met(tiled)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -101,6 +107,17 @@ def surface(triangles: DataFrame, resolution: int, conservative: bool = True) ->
     return tiled.select(*CORNERS, "tx", "ty", "tz").mapInPandas(run, "x long, y long, z long").distinct()
 
 
+def _met(tiled: DataFrame) -> DataFrame:
+    """The rows of ``tiles_of`` whose tile's cube the triangle meets."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            tri = f[CORNERS].to_numpy(dtype=np.float64).reshape(-1, 3, 3) / TILE
+            yield f[overlaps(f[["tx", "ty", "tz"]].to_numpy(dtype=np.float64), tri)] if len(f) else f
+
+    return tiled.select(*CORNERS, "tx", "ty", "tz").mapInPandas(run, tiled.select(*CORNERS, "tx", "ty", "tz").schema)
+
+
 def coarse_tiles(triangles: DataFrame, resolution: int, tile: int = TILE) -> DataFrame:
     """(x, y, z) of the tiles that the surface meets: the first of two passes."""
     scaled = triangles.select(*[(F.col(c) / tile).alias(c) for c in CORNERS])

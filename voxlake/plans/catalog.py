@@ -33,6 +33,11 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return octree.voxels_from(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey", R)
 
 
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``voxels`` with repeats, for what begins with leaves: no shuffle of its own."""
+    return octree.cells_from(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey", R)
+
+
 # --- SQL pieces -------------------------------------------------------------------
 
 def sql_morton(x="x", y="y", z="z", bits=ROOT) -> str:
@@ -94,29 +99,29 @@ def child_slots(spark, sf_dir):
 
 @query(f"WITH {LEAVES} SELECT tile, lo, hi FROM leaves")
 def leaf_masks(spark, sf_dir):
-    return octree.leaves(voxels(spark, sf_dir))
+    return octree.leaves(cells(spark, sf_dir))
 
 
 @query(f"WITH {LEAVES} SELECT {POP} AS bits, count(*) AS leaves FROM leaves GROUP BY 1")
 def leaf_popcount_hist(spark, sf_dir):
-    return octree.leaves(voxels(spark, sf_dir)).groupBy(m.popcount().alias("bits")).agg(F.count("*").alias("leaves"))
+    return octree.leaves(cells(spark, sf_dir)).groupBy(m.popcount().alias("bits")).agg(F.count("*").alias("leaves"))
 
 
 @query(f"WITH {LEAVES} SELECT lo, hi, count(*) AS uses, min(tile) AS id FROM leaves GROUP BY lo, hi")
 def leaf_dedup(spark, sf_dir):
-    return octree.leaves(voxels(spark, sf_dir)).groupBy("lo", "hi").agg(F.count("*").alias("uses"), F.min("tile").alias("id"))
+    return octree.leaves(cells(spark, sf_dir)).groupBy("lo", "hi").agg(F.count("*").alias("uses"), F.min("tile").alias("id"))
 
 
 @query(f"WITH {LEAVES} SELECT CAST({' + '.join(f'(CASE WHEN ({h} >> {8 * i}) & 255 > 0 THEN {1 << (i + 4 * k)} ELSE 0 END)' for k, h in enumerate(('lo', 'hi')) for i in range(4))} AS INT) AS block_mask, count(*) AS n FROM leaves GROUP BY 1")
 def leaf_block_masks(spark, sf_dir):
-    return octree.leaves(voxels(spark, sf_dir)).groupBy(m.block_mask().alias("block_mask")).agg(F.count("*").alias("n"))
+    return octree.leaves(cells(spark, sf_dir)).groupBy(m.block_mask().alias("block_mask")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {LEAVES}, bits AS (SELECT tile, lo, hi, CAST(unnest(range(0, 64)) AS BIGINT) AS bit FROM leaves),
 live AS (SELECT * FROM bits WHERE (CASE WHEN bit < 32 THEN (lo >> CAST(bit AS INT)) & 1 ELSE (hi >> CAST(bit - 32 AS INT)) & 1 END) = 1)
 SELECT tile, bit, row_number() OVER (PARTITION BY tile ORDER BY bit) - 1 AS rank FROM live""")
 def leaf_bit_ranks(spark, sf_dir):
-    bits = octree.leaves(voxels(spark, sf_dir)).select("tile", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b")).withColumn("bit", F.col("b").cast("long"))
+    bits = octree.leaves(cells(spark, sf_dir)).select("tile", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b")).withColumn("bit", F.col("b").cast("long"))
     return bits.where(m.has_bit(F.col("bit"))).select("tile", "bit", m.rank(F.col("bit")).alias("rank"))
 
 
@@ -124,58 +129,58 @@ def leaf_bit_ranks(spark, sf_dir):
 
 @query(f"WITH {DAG} SELECT CAST(level AS INT) AS level, count(*) AS nodes FROM tree GROUP BY 1")
 def octree_levels(spark, sf_dir):
-    return octree.level_counts(octree.leaves(voxels(spark, sf_dir)), ROOT)
+    return octree.level_counts(octree.leaves(cells(spark, sf_dir)), ROOT)
 
 
 @query(f"WITH {DAG} SELECT CAST(level AS INT) AS level, count(*) AS tree_nodes, CAST(sum(CASE WHEN morton = id THEN 1 ELSE 0 END) AS BIGINT) AS dag_nodes FROM tree GROUP BY 1")
 def dag_levels(spark, sf_dir):
-    return dags.Dag(voxels(spark, sf_dir), ROOT).level_counts()
+    return dags.Dag(cells(spark, sf_dir), ROOT).level_counts()
 
 
 @query(f"""WITH {DAG}, c AS (SELECT level, count(*) AS tree_nodes, CAST(sum(CASE WHEN morton = id THEN 1 ELSE 0 END) AS BIGINT) AS dag_nodes FROM tree GROUP BY 1),
 e AS (SELECT level, count(*) AS children FROM edges GROUP BY 1)
 SELECT CAST(level AS INT) AS level, tree_nodes, dag_nodes, coalesce(children, 0) AS children, round(100.0 * (1 - dag_nodes / tree_nodes), 6) AS saved_percent FROM c LEFT JOIN e USING (level)""")
 def svo_vs_dag_stats(spark, sf_dir):
-    return dags.Dag(voxels(spark, sf_dir), ROOT).statistics()
+    return dags.Dag(cells(spark, sf_dir), ROOT).statistics()
 
 
 @query(f"WITH {DAG} SELECT CAST(level AS INT) AS level, n_children, count(*) AS n_nodes FROM (SELECT level, parent, count(*) AS n_children FROM edges GROUP BY 1, 2) GROUP BY 1, 2")
 def child_count_hist(spark, sf_dir):
-    return dags.Dag(voxels(spark, sf_dir), ROOT).child_histogram()
+    return dags.Dag(cells(spark, sf_dir), ROOT).child_histogram()
 
 
 @query(f"WITH {VOXELS} SELECT count(*) AS voxels FROM voxels")
 def voxel_count_by_multiplicity(spark, sf_dir):
-    return dags.Dag(voxels(spark, sf_dir), ROOT).voxel_count()
+    return dags.Dag(cells(spark, sf_dir), ROOT).voxel_count()
 
 
 @query(f"WITH {DAG}, r AS (SELECT CAST(level - 1 AS INT) AS level, child, count(*) AS refs FROM edges GROUP BY 1, 2) SELECT level, child, refs, row_number() OVER (PARTITION BY level ORDER BY refs DESC, child) - 1 AS rank FROM r")
 def refcount_rank(spark, sf_dir):
-    return dags.Dag(voxels(spark, sf_dir), ROOT).reference_ranks()
+    return dags.Dag(cells(spark, sf_dir), ROOT).reference_ranks()
 
 
 @query(f"""WITH {DAG}, w AS (SELECT level, parent AS id, 1 + count(*) AS words FROM edges GROUP BY 1, 2 UNION ALL SELECT 2, id, 2 FROM t2 WHERE morton = id)
 SELECT CAST(level AS INT) AS level, id, CAST(words AS BIGINT) AS words, CAST(sum(words) OVER (PARTITION BY level ORDER BY id) - words AS BIGINT) AS start FROM w""")
 def node_word_offsets(spark, sf_dir):
-    return dags.Dag(voxels(spark, sf_dir), ROOT).word_offsets()
+    return dags.Dag(cells(spark, sf_dir), ROOT).word_offsets()
 
 
 @query(f"""WITH {DAG}, m AS (SELECT {sql_morton()} AS m FROM voxels)
 SELECT CAST(t.level AS INT) AS level, t.id, count(*) AS voxels FROM tree t JOIN m ON m.m >> (3 * t.level) = t.morton WHERE t.morton = t.id GROUP BY 1, 2""")
 def subtree_counts(spark, sf_dir):
-    counts = dags.Dag(voxels(spark, sf_dir), ROOT).subtree_counts()
+    counts = dags.Dag(cells(spark, sf_dir), ROOT).subtree_counts()
     return reduce(DataFrame.unionByName, (d.withColumn("level", F.lit(k)) for k, d in counts.items())).select("level", "id", "voxels")
 
 
 @query(f"""WITH {DAG}, q AS (SELECT event_id, CAST(event_id % {R} AS BIGINT) AS x, CAST((event_id * 7) % {R} AS BIGINT) AS y, CAST((event_id * 13) % 100 AS BIGINT) AS z FROM events)
 SELECT event_id, x, y, z, EXISTS (SELECT 1 FROM voxels v WHERE v.x = q.x AND v.y = q.y AND v.z = q.z) AS found FROM q""")
 def member_lookup(spark, sf_dir):
-    return octree.members(_probes(spark, sf_dir), voxels(spark, sf_dir))
+    return octree.members(_probes(spark, sf_dir), cells(spark, sf_dir))
 
 
 @query(SQL["member_lookup"])
 def dag_member_descent(spark, sf_dir):
-    return dags.Dag(voxels(spark, sf_dir), ROOT).members(_probes(spark, sf_dir))
+    return dags.Dag(cells(spark, sf_dir), ROOT).members(_probes(spark, sf_dir))
 
 
 def _probes(spark, sf_dir):
@@ -186,7 +191,7 @@ def _probes(spark, sf_dir):
 
 @query(f"""WITH {DAG}, keep AS (SELECT DISTINCT child FROM edges WHERE level = 4 AND parent % 2 = 0) SELECT id FROM t3 WHERE morton = id AND id NOT IN (SELECT child FROM keep)""")
 def gc_unreferenced(spark, sf_dir):
-    d = dags.Dag(voxels(spark, sf_dir), ROOT)
+    d = dags.Dag(cells(spark, sf_dir), ROOT)
     return d.orphans(d.nodes[4].where("id % 2 = 0").select("id"), 4).select("id")
 
 
@@ -269,8 +274,11 @@ def exposed_faces_6(spark, sf_dir):
     return edits.exposed_faces(voxels(spark, sf_dir))
 
 
-@query(f"""WITH {VOXELS}, b AS (SELECT event_id AS box_id, CAST(event_id % {R} AS BIGINT) AS x0, CAST((event_id * 7) % {R} AS BIGINT) AS y0, CAST((event_id * 13) % 100 AS BIGINT) AS z0 FROM events WHERE event_id < 500)
-SELECT box_id, NOT EXISTS (SELECT 1 FROM voxels WHERE x >= x0 AND x < x0 + 5 AND y >= y0 AND y < y0 + 5 AND z >= z0 AND z < z0 + 5) AS is_empty FROM b""")
+@query(f"""WITH {VOXELS}, b AS (SELECT event_id AS box_id, CAST(event_id % {R} AS BIGINT) AS x0, CAST((event_id * 7) % {R} AS BIGINT) AS y0, CAST((event_id * 13) % 100 AS BIGINT) AS z0 FROM events),
+-- cells of 16 that a box of five may meet
+c AS (SELECT DISTINCT box_id, x0, y0, z0, (x0 + i) >> 4 AS cx, (y0 + j) >> 4 AS cy, (z0 + k) >> 4 AS cz FROM b, (VALUES (0), (4)) a(i), (VALUES (0), (4)) d(j), (VALUES (0), (4)) e(k)),
+h AS (SELECT DISTINCT box_id FROM c JOIN (SELECT *, x >> 4 AS cx, y >> 4 AS cy, z >> 4 AS cz FROM voxels) USING (cx, cy, cz) WHERE x >= x0 AND x < x0 + 5 AND y >= y0 AND y < y0 + 5 AND z >= z0 AND z < z0 + 5)
+SELECT box_id, box_id NOT IN (SELECT box_id FROM h) AS is_empty FROM b""")
 def region_empty(spark, sf_dir):
     b = _probes(spark, sf_dir).select(F.col("event_id").alias("box_id"), *[F.col(c).alias(f"{c}0") for c in "xyz"], *[(F.col(c) + 5).alias(f"{c}1") for c in "xyz"])
     return octree.boxes_empty(b, voxels(spark, sf_dir))

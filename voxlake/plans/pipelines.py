@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from voxlake.operators import edits, encode, voxelize
 from voxlake.operators.dag import Dag
 from voxlake.operators.symmetric import GROUPS, SymmetricDag
+from voxlake.operators.transform import TransformDag
+from voxlake.operators.transform16 import Transform16
 
 
 def voxelized(triangles: DataFrame, depth: int, solid: bool = False, conservative: bool = True) -> Dag:
@@ -14,9 +16,9 @@ def voxelized(triangles: DataFrame, depth: int, solid: bool = False, conservativ
 
 
 def encoded_report(dag: Dag, group: str = "all") -> DataFrame:
-    """(form, level, bytes): sizes of the tree, the DAG and the symmetric 16-bit form."""
+    """(form, level, bytes): sizes of the tree, the DAG, the symmetric DAG and the transform DAG in 16-bit words."""
     sym = SymmetricDag(dag, GROUPS[group])
-    forms = (("svo32", encode.svo32_sizes(dag)), ("svdag32", encode.svdag32_sizes(dag)), ("ssvdag32", encode.ssvdag32_sizes(sym)), ("symmetric16", encode.encoded16_sizes(sym)))
+    forms = (("svo32", encode.svo32_sizes(dag)), ("svdag32", encode.svdag32_sizes(dag)), ("ssvdag32", encode.ssvdag32_sizes(sym)), ("transform16", Transform16.of(TransformDag(sym)).sizes()))
     out = None
     for name, sizes in forms:
         rows = sizes.select(F.lit(name).alias("form"), "level", "bytes")
@@ -30,5 +32,5 @@ def write_statistics(report: DataFrame, path: str) -> None:
 
 
 def replayed(voxels: DataFrame, log: DataFrame, resolution: int) -> DataFrame:
-    """(version, changed_leaves) of a replay."""
+    """(version, changed_leaves, changed_materials) of a replay."""
     return edits.replay(voxels, log, resolution).summary()

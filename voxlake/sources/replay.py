@@ -1,6 +1,8 @@
 """Replay logs: comma-separated actions, a frame ending at each EndFrame."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from voxlake.operators.dag import running_start
 
 # fixed values: action names of the log and ours
 ACTIONS = {
@@ -49,15 +51,15 @@ def parse(lines: DataFrame) -> DataFrame:
         radius.alias("radius"),
         F.when(shaped, flag(4)).alias("add"),
         material.alias("material"),
-        *[F.when(copy, arg(3 + i)).alias(f"s{a}") for i, a in enumerate("xyz")],
-        *[F.when(copy, arg(6 + i)).alias(f"d{a}") for i, a in enumerate("xyz")],
+        *[F.when(copy, F.coalesce(arg(3 + i), F.lit(0.0))).alias(f"s{a}") for i, a in enumerate("xyz")],
+        *[F.when(copy, F.coalesce(arg(6 + i), F.lit(0.0))).alias(f"d{a}") for i, a in enumerate("xyz")],
         F.when(copy, F.array(*[F.coalesce(arg(10 + i), F.lit(v)) for i, v in enumerate(identity)])).alias("matrix"),
         F.when(copy, F.coalesce(flag(19), F.lit(False))).alias("swirl"),
         F.when(copy, F.coalesce(arg(20), F.lit(1.0))).alias("period"),
         fault.alias("fault"),
     )
-    ends = F.coalesce(F.sum(F.when(F.col("action") == "end_frame", 1).otherwise(0)).over(W.orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("frame", ends.cast("int"))
+    counted = rows.withColumns({"_log": F.lit(0), "_end": F.coalesce((F.col("action") == "end_frame").cast("long"), F.lit(0).cast("long"))})
+    return running_start(counted, "_log", "seq", "_end", "frame").withColumn("frame", F.col("frame").cast("int")).drop("_log", "_end")
 
 
 def read_replay(spark: SparkSession, path: str) -> DataFrame:

@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where none is set (local runs)."""
+    """``spark.checkpoint.dir``; a temporary folder only where none is set and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxlake-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()

@@ -1,10 +1,12 @@
 """Edits as a stream: a running leaf table, and edit logs folded batch by batch."""
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxlake.functions import morton as m
-from voxlake.operators.edits import Versions, replay
+from voxlake.operators.edits import replay
 
 
 def streaming_leaves(voxels: DataFrame) -> DataFrame:
@@ -19,18 +21,37 @@ def windowed_activity(edits: DataFrame, late: str = "10 minutes", window: str =
     return edits.withWatermark("ts", late).groupBy(F.window("ts", window), "action").agg(F.count("*").alias("n")).select("window.start", "window.end", "action", "n")
 
 
-def follow(edits: DataFrame, start: DataFrame, resolution: int, checkpoint: str) -> tuple[StreamingQuery, list[Versions]]:
-    """Fold each micro batch of an edit stream into the versions; the list's last item is the newest state.
+def _path(spark: SparkSession, folder: str, number: int):
+    return spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/state-{number:012d}")
+
+
+def newest(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
+    """Voxels (x, y, z, material) after the newest whole batch written to ``folder`` (numbered under ``below``)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    found = sorted(s.getPath().getName() for s in files.listStatus(root) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    if below is not None:
+        found = [n for n in found if int(n.rsplit("-", 1)[1]) < below]
+    return spark.read.parquet(f"{folder.rstrip('/')}/{found[-1]}") if found else None
+
+
+def follow(lines: DataFrame, start: DataFrame, resolution: int, folder: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Fold each micro batch of a log's lines into the voxels; the state after batch n is the table state-n in ``folder``.
 
-    A batch that is delivered twice (after a failure) is applied once, by its number.
+    The state is on shared storage under its batch's number: a query that starts again from
+    its checkpoint goes on from the newest state before its batch, and a batch that comes
+    twice is written over with the same rows.  Older states are removed but one.
     """
-    states: list[Versions] = [Versions.of(start)]
-    done: set[int] = set()
+    spark = start.sparkSession
+    begin = start if "material" in start.columns else start.withColumn("material", F.lit(0))
 
     def apply(batch: DataFrame, number: int) -> None:
-        if number in done:
-            return
-        states.append(replay(states[-1].voxels(), batch, resolution))
-        done.add(number)
+        before = newest(spark, folder, number)
+        after = replay(begin if before is None else before, parse(batch), resolution).voxels()
+        after.write.mode("overwrite").parquet(str(_path(spark, folder, number)))
+        old = _path(spark, folder, number - 2)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
-    return edits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start(), states
+    return lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
