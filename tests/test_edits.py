@@ -111,9 +111,9 @@ def test_edit_log_as_a_stream(spark, some, tmp_path):
     wall = voxels(spark, some)
     for batch, lines in enumerate((["EditSphere,10,10,10,5,true,7"], ["EditCube,20,20,9,4,false"], ["EditPaint,10,10,10,3,1,0,0,9"])):
         spark.createDataFrame([(batch * 10 + i, x) for i, x in enumerate(lines)], schema).coalesce(1).write.mode("append").json(str(log))
-        parsed_stream = spark.readStream.schema(schema).json(str(log)).withColumn("action", __import__("pyspark").sql.functions.lit(None).cast("string")).drop("action")
+        stream = spark.readStream.schema(schema).json(str(log))
         # a query begun anew from its checkpoint each time, as after a failure
-        query = streams.follow(parsed_stream, wall, R, str(states), str(tmp_path / "checkpoint"), replay.parse)
+        query = streams.follow(stream, wall, R, str(states), str(tmp_path / "checkpoint"), replay.parse)
         query.processAllAvailable()
         query.stop()
     want = dict.fromkeys(some, 0) | dict.fromkeys(ball((10, 10, 10), 5), 7)

@@ -186,11 +186,6 @@ def svdag32_member_lookup(spark, sf_dir):
     return encode.svdag32_members(words, _probes(spark, sf_dir), ROOT)
 
 
-@query()
-def pointer_type_hist(spark, sf_dir):
-    return Transform16.of(_transform_dag(spark, sf_dir)).codes.select("level", "type", "pointers")
-
-
 @query()
 def pointer_codes(spark, sf_dir):
     return Transform16.of(_transform_dag(spark, sf_dir)).codes
