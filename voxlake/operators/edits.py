@@ -21,6 +21,15 @@ from voxlake.storage import discard, stored
 
 # --- set operations ---------------------------------------------------------------
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join that deals both sides out by key.
+
+    Spark judges a side by its file or by the rows before an explode, which a voxel set
+    exceeds many times; it would collect such a set on the driver to broadcast it.
+    """
+    return rows.hint("merge")
+
+
 def box_voxels(spark: SparkSession, lower: tuple, upper: tuple) -> DataFrame:
     """All voxels of a box, upper end excluded."""
     x = spark.range(lower[0], upper[0]).select(F.col("id").alias("x"))
@@ -111,8 +120,8 @@ def copy_transformed(
     looked = cells.select("x", "y", "z", *[v.alias(f"_s{c}") for c, v in zip("xyz", at, strict=True)]).where("_sx >= 0 and _sy >= 0 and _sz >= 0")
     looked = looked.select("x", "y", "z", *[F.floor(f"_s{c}").cast("long").alias(f"_s{c}") for c in "xyz"])
     rest = [c for c in voxels.columns if c not in ("x", "y", "z")]
-    found = looked.join(voxels.select(*[F.col(c).alias(f"_s{c}") for c in "xyz"], *rest), ["_sx", "_sy", "_sz"]).select("x", "y", "z", *rest)
-    return voxels.unionByName(found.join(voxels.select("x", "y", "z"), ["x", "y", "z"], "left_anti"))
+    found = looked.join(dealt(voxels.select(*[F.col(c).alias(f"_s{c}") for c in "xyz"], *rest)), ["_sx", "_sy", "_sz"]).select("x", "y", "z", *rest)
+    return voxels.unionByName(found.join(dealt(voxels.select("x", "y", "z")), ["x", "y", "z"], "left_anti"))
 
 
 OFFSETS_26 = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
@@ -157,7 +166,7 @@ def flood_cells(voxels: DataFrame, seed: tuple, lower: tuple, upper: tuple) -> D
         return spark.createDataFrame([], "x long, y long, z long")
     first = spark.createDataFrame([tuple(map(int, seed))], "x long, y long, z long")
     solid = voxels.where(in_box(lower, upper)).select("x", "y", "z").join(first, ["x", "y", "z"], "left_anti")
-    free = box_voxels(spark, lower, upper).join(solid, ["x", "y", "z"], "left_anti")
+    free = box_voxels(spark, lower, upper).join(dealt(solid), ["x", "y", "z"], "left_anti")
     rows = {"x": ["y", "z"], "y": ["x", "z"], "z": ["x", "y"]}
     for a, others in rows.items():
         free = free.withColumn(f"run_{a}", F.col(a) - F.row_number().over(W.partitionBy(*others).orderBy(a)))
@@ -166,7 +175,7 @@ def flood_cells(voxels: DataFrame, seed: tuple, lower: tuple, upper: tuple) -> D
     while n != before:
         after = reached
         for a, others in rows.items():
-            after = free.join(after.select(*others, f"run_{a}").distinct(), [*others, f"run_{a}"], "left_semi")
+            after = free.join(dealt(after.select(*others, f"run_{a}").distinct()), [*others, f"run_{a}"], "left_semi")
         after = stored(after, "reached")
         discard(reached)
         reached, before, n = after, n, after.count()
@@ -299,7 +308,7 @@ class Versions:
         found = voxels_of_leaves(self.state(n))
         if self.materials is None:
             return found
-        return found.join(self._last(self.materials, self.painted[:n], ["x", "y", "z"], ["material"]), ["x", "y", "z"])
+        return found.join(dealt(self._last(self.materials, self.painted[:n], ["x", "y", "z"], ["material"])), ["x", "y", "z"])
 
     def commit(self, edited: DataFrame, now: DataFrame | None = None) -> int:
         """Record in what the voxel set ``edited`` differs (from ``now``, the current voxels, if they are at hand); drops what was undone."""
@@ -308,7 +317,7 @@ class Versions:
         changed = both.where(~F.col("n").eqNullSafe(F.col("o"))).select("tile", F.coalesce("n.lo", F.lit(0).cast("long")).alias("lo"), F.coalesce("n.hi", F.lit(0).cast("long")).alias("hi"))
         if self.materials is not None:
             before = (self.voxels() if now is None else now).withColumnRenamed("material", "was")
-            colors = edited.select("x", "y", "z", "material").join(before, ["x", "y", "z"], "left").where(~F.col("material").eqNullSafe(F.col("was")))
+            colors = edited.select("x", "y", "z", "material").join(dealt(before), ["x", "y", "z"], "left").where(~F.col("material").eqNullSafe(F.col("was")))
             self.painted = [*self.painted[: self.at], stored(colors.drop("was"), "version-materials")]
         self.log = [*self.log[: self.at], stored(changed, "version")]
         self.at += 1
@@ -368,13 +377,13 @@ def apply_edit(voxels: DataFrame, e: dict, resolution: int, scale: float = 1.0)
         side = 2 * ceil(radius)
         box = tuple(max(0, a) for a in lower), tuple(min(resolution, a + side) for a in lower)
         cells = flood_cells(voxels, tuple(a + side // 2 for a in lower), *box)
-        return voxels.unionByName(cells.join(voxels.select("x", "y", "z"), ["x", "y", "z"], "left_anti").withColumn("material", material))
+        return voxels.unionByName(cells.join(dealt(voxels.select("x", "y", "z")), ["x", "y", "z"], "left_anti").withColumn("material", material))
     inside = (touched_by_box if kind == "box" else touched_by_sphere)(centre, radius)
     if kind == "paint":
         return voxels.withColumn("material", F.when(inside, material).otherwise(F.col("material")))
     if kind == "erode":
         counts = neighbour_counts(voxels).where(F.col("neighbours") >= (e.get("min_neighbors") or 14))
-        return voxels.where(~inside).unionByName(voxels.where(inside).join(counts.select("x", "y", "z"), ["x", "y", "z"], "left_semi"))
+        return voxels.where(~inside).unionByName(voxels.where(inside).join(dealt(counts.select("x", "y", "z")), ["x", "y", "z"], "left_semi"))
     if kind not in EDITS:
         raise ValueError(f"{kind!r} is no edit")
     rest = voxels.where(~inside)
