@@ -41,7 +41,7 @@ def _tiles_walked(size: int, resolution: int, part: tuple[float, float]):
                 planes = np.arange(0, resolution + size, size, dtype=np.float64)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     ts = (planes[None, None, :] - o[live][:, :, None]) / d[live][:, :, None]
-                ts = np.where(np.isfinite(ts), ts, np.inf).reshape(len(live), -1)
+                ts = np.where(np.isfinite(ts), ts, np.inf).reshape(len(live), 3 * len(planes))
                 ts = np.clip(ts, t0[live][:, None], t1[live][:, None])
                 ts = np.sort(np.concatenate([t0[live][:, None], ts, t1[live][:, None]], axis=1), axis=1)
                 lo, hi = ts[:, :-1], ts[:, 1:]
