@@ -79,9 +79,9 @@ class DecodeTable:
         return self.table[bits & (1 << self.width) - 1]
 
 
-def code_table(spark: SparkSession, counts: DataFrame, symbol: str, count: str, most: int = 16) -> DataFrame:
-    """(symbol, count, length, code) of a small table of counts."""
+def code_table(spark: SparkSession, counts: DataFrame, symbol: str, count: str, most: int | None = 16) -> DataFrame:
+    """(symbol, count, length, code) of a small table of counts; ``most`` limits the lengths, None doesn't."""
     rows = [(r[0], r[1]) for r in counts.select(symbol, count).orderBy(symbol).collect()]
-    lengths = limited_lengths([n for _, n in rows], most)
+    lengths = code_lengths([n for _, n in rows]) if most is None else limited_lengths([n for _, n in rows], most)
     made = [(s, n, k, c) for (s, n), k, c in zip(rows, lengths, code_words(lengths), strict=True)]
     return spark.createDataFrame(made, f"{symbol} {counts.schema[symbol].dataType.simpleString()}, {count} long, length int, code string")

@@ -202,9 +202,10 @@ def huffman_codes(spark, sf_dir):
 h(w, paid) AS (SELECT list_sort(list(n)), CASE WHEN count(*) = 1 THEN sum(n) ELSE 0 END::HUGEINT FROM b UNION ALL SELECT list_sort(list_append(w[3:], w[1] + w[2])), paid + w[1] + w[2] FROM h WHERE len(w) > 1)
 SELECT (SELECT count(*) FROM b) AS symbols, CAST(max(paid) AS BIGINT) AS bits FROM h""")
 def huffman_cost(spark, sf_dir):
-    """Bits of the coded symbols: that of an optimal code, as no code is longer than the limit here."""
+    """Bits of the coded symbols in an optimal code: rare symbols of large tables have codes longer than ``huffman_codes`` allows."""
     counts = octree.leaves(cells(spark, sf_dir)).groupBy(m.block_mask().alias("symbol")).agg(F.count("*").alias("n"))
-    return huffman.code_table(spark, counts, "symbol", "n").agg(F.count("*").alias("symbols"), F.sum(F.col("n") * F.col("length")).alias("bits"))
+    coded = huffman.code_table(spark, counts, "symbol", "n", most=None)
+    return coded.agg(F.count("*").alias("symbols"), F.coalesce(F.sum(F.col("n") * F.col("length")), F.lit(0)).alias("bits"))
 
 
 # --- translation ------------------------------------------------------------------
