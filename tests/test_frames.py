@@ -15,7 +15,7 @@ def dealt_finely(monkeypatch):
     monkeypatch.setattr(rays, "camera_rays", lambda *a, **k: made(*a, **k).repartitionByRange(24, "ray_id"))
 
 
-@pytest.mark.parametrize("name", ["ambient_occlusion", "path_traced_frame", "surface_colors", "camera_first_hits", "shaded_frame"])
+@pytest.mark.parametrize("name", ["ambient_occlusion", "path_traced_frame", "surface_colors", "camera_first_hits", "shaded_frame", "tool_overlay"])
 def test_tasks_without_a_ray_in_the_grid(spark, dealt_finely, name):
     got = __spark_entry__.queries()[name](spark, SMALL).toPandas()
     con = duckdb.connect()
